@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The engine has no streaming semantics of its own (no watermark, window or
+state).  The stateless operators - ``operators.standardize`` and the vector
+functions - take a streaming DataFrame as they are.
+"""
