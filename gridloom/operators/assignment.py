@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import cosine
 from gridloom.operators.sampling import sample_per_group
-from gridloom.operators.skew import spread_hot_keys
+from gridloom.operators.skew import salted
 
 # Histogram bins, Li iterations and similarities sampled per gene.
 YEN_BINS = 256
@@ -25,9 +25,8 @@ def score_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     a = src.select(F.col("id").alias("src"), F.col("embedding").alias("_a"))
     b = dst.select(F.col("id").alias("dst"), F.col("embedding").alias("_b"))
     joined = edges.join(a, "src")
-    left, right, keys = spread_hot_keys(joined, b, ["dst"], ["src", "dst"])
-    scored = left.join(right, keys).withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
-    return scored.drop("_a", "_b", "_salt")
+    scored = salted(joined, b, ["dst"], ["src", "dst"]).withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
+    return scored.drop("_a", "_b")
 
 
 def best_per_source(scored: DataFrame, min_similarity: float | None = None) -> DataFrame:
@@ -74,8 +73,7 @@ def decode_cells(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     left = predictions.withColumn("cell_encoding", code)
     # The unassigned rows share one null key; they need no lookup at all.
     found = left.where(F.col("cell_encoding").isNotNull())
-    many, few, keys = spread_hot_keys(found, known, ["cell_encoding"], ["row_index"])
-    decoded = many.join(few, keys, "left").drop("_salt")
+    decoded = salted(found, known, ["cell_encoding"], ["row_index"], "left")
     none = left.where(F.col("cell_encoding").isNull()).withColumn("assigned_cell_id", F.lit(None).cast("string"))
     return decoded.unionByName(none).drop("cell_encoding")
 
@@ -90,10 +88,9 @@ def yen_thresholds(
     ordered; a gene with a single value is its own threshold.
     """
     ranges = scores.groupBy(gene).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    left, right, keys = spread_hot_keys(scores, ranges, [gene], [value])
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     position = F.floor((F.col(value) - F.col("_lo")) / width * F.lit(bins)).cast("int")
-    binned = left.join(right, keys).withColumn("_bin", F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)))
+    binned = scores.join(ranges, gene).withColumn("_bin", F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)))
     counts = binned.groupBy(gene, "_lo", "_hi", "_bin").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     ordered = Window.partitionBy(gene).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(gene)
@@ -188,7 +185,6 @@ def assign(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     """Predictions of all tiles -> the segmentation output table."""
     decoded = decode_cells(keep_best_rows(predictions), cells)
     thresholds = gene_thresholds(decoded.where(F.col("assigned_cell_id").isNotNull()))
-    left, right, keys = spread_hot_keys(decoded, thresholds, ["gene_encoding"], ["row_index"])
-    return left.join(right, keys, "left").select(
+    return decoded.join(thresholds, "gene_encoding", "left").select(
         "row_index", "similarity", "assigned_cell_id", "similarity_threshold", "converged"
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.skew import spread_hot_keys
+from gridloom.operators.sampling import uniform
+from gridloom.operators.skew import salted
 from gridloom.operators.standardize import reference_mask
 
 # Null join keys are spread over this many values that match nothing.
@@ -31,8 +32,7 @@ def training_points(points: DataFrame, genes: DataFrame, cells: DataFrame, mode:
     keyed = points.join(g, "feature_name").withColumn(
         "_key", _spread_nulls(F.when(reference_mask(F.col("cell_compartment"), mode), F.col("cell_id")), "row_index")
     )
-    left, right, keys = spread_hot_keys(keyed, c, ["_key"], ["row_index"])
-    joined = left.join(right, keys, "left").drop(*keys)
+    joined = salted(keyed, c, ["_key"], ["row_index"], "left").drop("_key")
     return joined.withColumn("cell_cluster", F.coalesce("cell_cluster", F.lit(-1))).select(
         "row_index",
         "x",
@@ -73,8 +73,7 @@ def typed_edges(neighbours: DataFrame, belongs: DataFrame, candidates: DataFrame
 def _attach(edges: DataFrame, nodes: DataFrame, end: str, columns: dict[str, str], how: str = "inner") -> DataFrame:
     """Join node columns to one end of the edges; a hub node is spread over several tasks."""
     side = nodes.select(F.col("id").alias(end), *[F.col(a).alias(b) for a, b in columns.items()])
-    left, right, keys = spread_hot_keys(edges, side, [end], ["src", "dst"])
-    return left.join(right, keys, how).drop("_salt")
+    return salted(edges, side, [end], ["src", "dst"], how)
 
 
 def partition_edges(edges: DataFrame, src_labels: DataFrame, dst_labels: DataFrame) -> DataFrame:
@@ -94,8 +93,7 @@ def induced_edges(edges: DataFrame, src_context: DataFrame, dst_context: DataFra
     """
     left = _attach(edges, src_context, "src", {"tile_id": "tile_id"})
     right = dst_context.select("tile_id", F.col("id").alias("dst"))
-    a, b, keys = spread_hot_keys(left, right, ["tile_id", "dst"], ["src", "dst"])
-    return a.join(b, keys).select("tile_id", "src", "dst")
+    return salted(left, right, ["tile_id", "dst"], ["src", "dst"]).select("tile_id", "src", "dst")
 
 
 def local_ids(nodes: DataFrame, ident: str, *, tile: str = "tile_id") -> DataFrame:
@@ -148,17 +146,17 @@ def permutation(nodes: DataFrame, sizes: DataFrame, ident: str, *, tile: str = "
     )
 
 
-def negative_edges(edges: DataFrame, n_src: int, n_dst: int, ratio: float = 1.0, seed: int = 0) -> DataFrame:
-    """Non-edges drawn by hash: about ``ratio`` per positive edge, ids in ``0..n-1``.
+def negative_edges(edges: DataFrame, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """Non-edges drawn by hash, about ``ratio`` per positive edge.
 
-    Drawn pairs that are edges, or drawn twice, are left out.
+    A draw keeps the source of a positive edge and takes a destination in
+    ``0..max(dst)``; draws that are edges, or repeat another draw, are left out.
     """
     whole, part = int(ratio), ratio - int(ratio)
-    draws = edges.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(whole))))
-    share = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    draws = draws.where((F.col("_draw") < whole) | (share < part))
+    draws = edges.select("src", "dst").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(whole))))
+    draws = draws.where((F.col("_draw") < whole) | (uniform("src", "dst", seed=seed) < part))
+    n_dst = edges.agg(F.max("dst") + 1).scalar()
     drawn = draws.select(
-        F.pmod(F.xxhash64("src", "dst", "_draw", F.lit(seed), F.lit(1)), F.lit(n_src)).cast("long").alias("src"),
-        F.pmod(F.xxhash64("src", "dst", "_draw", F.lit(seed), F.lit(2)), F.lit(n_dst)).cast("long").alias("dst"),
+        "src", F.pmod(F.xxhash64("src", "dst", "_draw", F.lit(seed)), n_dst).cast("long").alias("dst")
     ).distinct()
     return drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.skew import spread_hot_keys
-
 
 def dense_index(df: DataFrame, order_by: list[str | Column], name: str) -> DataFrame:
     """Number the rows 0..n-1 in a total order, as a range-partitioned sort.
@@ -87,8 +85,7 @@ def position_in_group(df: DataFrame, group: str, ident: str, name: str, rows_per
     group holding a third of all rows is still numbered by many tasks.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias(f"{name}_of"))
-    many, few, keys = spread_hot_keys(df, sizes, [group], [ident])
-    tagged = many.join(few, keys).drop("_salt")
+    tagged = df.join(sizes, group)
     buckets = F.ceil(F.col(f"{name}_of") / F.lit(rows_per_bucket)).cast("int")
     tagged = tagged.withColumn("_b", F.pmod(F.xxhash64(ident), F.greatest(buckets, F.lit(1))).cast("int"))
     counts = tagged.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))

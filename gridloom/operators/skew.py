@@ -1,4 +1,14 @@
-"""Keeping one hot key from becoming one slow task."""
+"""Keeping one hot key from becoming one slow task.
+
+Three means, by the size of the smaller side:
+
+* gene- or cluster-keyed tables are joined plainly: Spark broadcasts them when their
+  measured size allows, and otherwise adaptive execution splits a skewed partition;
+* cell-keyed tables go through ``salted``: every key is cut into a fixed number of
+  pieces before adaptive execution sees it;
+* grid-keyed spatial joins go through ``spread_hot_keys``, which counts the keys and
+  gives the hottest ones as many pieces as their size asks for.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +20,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 4096
 MAX_SPLITS = 4096
+# Pieces per key of a salted join.
+SALTS = 16
 
 
 def hot_keys(many: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -49,3 +61,17 @@ def spread_hot_keys(
         .drop("_splits")
     )
     return left, right, [*keys, "_salt"]
+
+
+def salted(
+    many: DataFrame, few: DataFrame, keys: list[str], ident: list[str | Column], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Equi-join with every key of ``many`` cut into ``salts`` pieces; ``few`` is repeated per piece.
+
+    ``how`` is ``inner`` or ``left`` - a row of ``many`` sees each match once either way.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"a salted join is inner or left, not {how!r}")
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,13 @@ def build_session(app_name: str = "gridloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def use_defaults(spark: SparkSession) -> SparkSession:
+    """Set the runtime SQL defaults above on a session made elsewhere."""
+    for key, value in SESSION_DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, read from ``spark.checkpoint.dir``.
 
@@ -51,6 +59,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and restart its plan there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and go on from there.
+
+    A written table is computed once, survives the loss of executors, and carries its
+    real size - an iterated ``checkpoint()`` keeps multiplying the size estimates of
+    the plan it replaced.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
