@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -129,3 +129,12 @@ def gene_correlation(
     flat = (va <= n * F.col("saa") * 1e-12) | (vb <= n * F.col("sbb") * 1e-12)
     r = F.when(flat, F.lit(0.0)).otherwise(num / F.nullif(F.sqrt(va) * F.sqrt(vb), F.lit(0.0)))
     return m.select("gene_a", "gene_b", F.coalesce(r, F.lit(0.0)).alias("r"))
+
+
+def join_exactly_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join that fails unless every left row has exactly one match on the right."""
+    matches = right.withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    joined = left.join(matches, key, "left")
+    message = F.concat(F.lit("expected exactly one match for key "), F.col(key).cast("string"))
+    checked = F.when(F.col("_hits") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return joined.where(checked).drop("_hits")

@@ -6,12 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import geometry as G
 from gridloom.functions import planar
-from gridloom.schemas import BOUNDARY_CODE, CELL_BOUNDARY, COSMX_MASK_CODES, COSMX_MPP, NUCLEUS_BOUNDARY
 from gridloom.operators.skew import salted
+from gridloom.schemas import BOUNDARY_CODE, CELL_BOUNDARY, COSMX_MASK_CODES, COSMX_MPP, NUCLEUS_BOUNDARY, RING
 
+SHAPE_COLUMNS = ["area", "convexity", "elongation", "circularity"]
 RING_TYPE = "array<struct<x:double,y:double>>"
 # Points one task takes when a cell's hull is built in parts.
 HULL_PART = 50_000
@@ -65,29 +67,43 @@ def _rows(ring: np.ndarray | None):
     return None if ring is None else [{"x": float(a), "y": float(b)} for a, b in ring]
 
 
-@F.pandas_udf(RING_TYPE)
+@F.pandas_udf(RING)
 def _repair(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([_rows(planar.repair(_ring(a, b))) for a, b in zip(xs, ys)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _valid(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([planar.is_valid(_ring(a, b)) for a, b in zip(xs, ys)], dtype=bool)
 
 
-@F.pandas_udf("area double, convexity double, elongation double, circularity double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SHAPE_COLUMNS]))
 def _shape(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     rows = [planar.shape_metrics(_ring(a, b)) for a, b in zip(xs, ys)]
-    return pd.DataFrame(rows, columns=["area", "convexity", "elongation", "circularity"])
+    return pd.DataFrame(rows, columns=SHAPE_COLUMNS)
 
 
-@F.pandas_udf(RING_TYPE)
+@F.pandas_udf(RING)
 def _simplify(xs: pd.Series, ys: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series(
         [_rows(planar.simplify(_ring(a, b), float(t))) for a, b, t in zip(xs, ys, tolerance)], dtype=object
     )
 
 
+@F.pandas_udf(RING)
+def _contour(rows: pd.Series, cols: pd.Series) -> pd.Series:
+    return pd.Series([_rows(planar.label_contour(np.asarray(a), np.asarray(b))) for a, b in zip(rows, cols)], dtype=object)
+
+
+def for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition before a Python step that costs far more than its bytes suggest.
+
+    A fixed partition number keeps adaptive execution from merging the partitions by
+    size into a few long tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def is_valid(ring: Column) -> Column:
     return _valid(_axis(ring, "x"), _axis(ring, "y"))
 
@@ -114,7 +130,7 @@ def morphology_embedding(polygons: DataFrame, *, ident: str = "cell_id", ring: s
     """``(ident, embedding)`` of the four shape metrics."""
     m = shape_metrics(polygons, ring=ring)
     return m.select(
-        ident, F.array(*[F.col(c).cast("float") for c in ("area", "convexity", "elongation", "circularity")]).alias("embedding")
+        ident, F.array(*[F.col(c).cast("float") for c in SHAPE_COLUMNS]).alias("embedding")
     )
 
 
@@ -188,6 +204,7 @@ def cell_boundaries(
 def _hulls(spots: DataFrame, sizes: DataFrame, smoothing: int) -> DataFrame:
     parts = sizes.select("cell_id", F.ceil(F.col("_spots") / F.lit(HULL_PART)).cast("int").alias("_parts"))
     cut = salted(spots, parts, ["cell_id"], ["x", "y"]).withColumn("_part", F.pmod(F.xxhash64("x", "y"), "_parts"))
+    cut = for_python(cut, "cell_id", "_part")
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         hull = planar.convex_hull(pdf[["x", "y"]].to_numpy())
@@ -217,7 +234,9 @@ def _outlines(spots: DataFrame, sizes: DataFrame, smoothing: int, connectivity:
         return _one_ring(pdf["cell_id"].iloc[0], ring)
 
     return (
-        spots.join(allowed, "cell_id").groupBy("cell_id").applyInPandas(trace, f"cell_id string, ring {RING_TYPE}")
+        for_python(spots.join(allowed, "cell_id"), "cell_id")
+        .groupBy("cell_id")
+        .applyInPandas(trace, f"cell_id string, ring {RING_TYPE}")
     )
 
 
@@ -253,18 +272,14 @@ def raster_polygons(pixels: DataFrame, fov_positions: DataFrame, boundary_type:
     rim = kept.withColumn("_ir", F.coalesce(inner_row, F.lit(False))).withColumn("_ic", F.coalesce(inner_col, F.lit(False)))
     rim = rim.where(~(F.col("_ir") & F.col("_ic")))
 
-    def contour(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = planar.label_contour(pdf["row"].to_numpy(), pdf["col"].to_numpy())
-        rows = [] if ring is None else [_rows(ring)]
-        return pd.DataFrame(
-            {"fov": pdf["fov"].iloc[:1].tolist() * len(rows), "label": pdf["label"].iloc[:1].tolist() * len(rows), "ring": rows}
-        )
-
-    traced = (
-        rim.select(F.col("fov").cast("int"), F.col("label").cast("int"), F.col("row").cast("int"), F.col("col").cast("int"))
-        .groupBy("fov", "label")
-        .applyInPandas(contour, f"fov int, label int, ring {RING_TYPE}")
+    # A label's rim is bounded by its field's raster, so one array per label is small.
+    pixel = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    gathered = rim.groupBy(F.col("fov").cast("int").alias("fov"), F.col("label").cast("int").alias("label")).agg(
+        F.array_sort(F.collect_list(pixel)).alias("_px")
     )
+    gathered = for_python(gathered, "fov", "label")
+    traced = gathered.select("fov", "label", _contour(_axis(F.col("_px"), "row"), _axis(F.col("_px"), "col")).alias("ring"))
+    traced = traced.where(F.col("ring").isNotNull())
     scale = traced.groupBy("fov").agg((F.avg(F.sqrt(G.area(F.col("ring")))) / F.lit(SIMPLIFY_DIVISOR)).alias("_tol"))
     thin = traced.join(scale, "fov").withColumn("ring", _simplify(_axis(F.col("ring"), "x"), _axis(F.col("ring"), "y"), F.col("_tol")))
     slide = F.coalesce(F.col("Slide"), F.lit(1)) if "Slide" in fov_positions.columns else F.lit(1)
