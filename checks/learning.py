@@ -479,11 +479,11 @@ _CONT = (POINTS, COUNTS, TYPED_CELLS, _SUMMARY.format(m=18), _FREQ, _SCORES)
 
 
 def _contamination(t):
-    reference = _reference(t).where("gene_name <> 'Brand#7' AND cell_type_name <> 'T4'")
-    scores = CT.contamination_scores(
-        M.count_matrix(t.points), t.typed_cells, reference, max_neighbor_distance=30.0, cutoff=0.84
-    )
-    return scores, reference
+    """Counts, cells and reference as the written tables they are in use."""
+    counts, cells = cut_lineage(M.count_matrix(t.points)), cut_lineage(t.typed_cells)
+    reference = CT.expression_summary(counts, cells, 18)
+    reference = cut_lineage(reference.where("gene_name <> 'Brand#7' AND cell_type_name <> 'T4'"))
+    return CT.contamination_scores(counts, cells, reference, max_neighbor_distance=30.0, cutoff=0.84), reference
 
 
 @query(

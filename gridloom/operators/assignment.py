@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.vectors import cosine
 from gridloom.operators.sampling import sample_per_group
 from gridloom.operators.skew import salted
+from gridloom.session import cut_lineage
 
 # Histogram bins, Li iterations and similarities sampled per gene.
 YEN_BINS = 256
@@ -183,7 +184,8 @@ def backfill_thresholds(thresholds: DataFrame) -> DataFrame:
 
 def assign(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     """Predictions of all tiles -> the segmentation output table."""
-    decoded = decode_cells(keep_best_rows(predictions), cells)
+    # Read by the histogram, the iteration and the result.
+    decoded = cut_lineage(decode_cells(keep_best_rows(predictions), cells))
     thresholds = gene_thresholds(decoded.where(F.col("assigned_cell_id").isNotNull()))
     return decoded.join(thresholds, "gene_encoding", "left").select(
         "row_index", "similarity", "assigned_cell_id", "similarity_threshold", "converged"

@@ -76,4 +76,8 @@ def point_box_join(
     left = key_points(points, x, y, levels_in_use(boxes, bounds))
     right = key_boxes(boxes, bounds)
     left, right, keys = spread_hot_keys(left, right, GRID_KEYS, ident, hot_rows)
-    return left.join(right, keys).where(condition).drop(*keys)
+    # Partition by cell even where the boxes are small enough to broadcast: what follows
+    # the match costs more than the scan, and the scan's own splits may be few.  A
+    # sort-merge join uses the same partitioning, so it adds no second shuffle.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(parts, *keys).join(right, keys).where(condition).drop(*keys)
