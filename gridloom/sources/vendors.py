@@ -181,7 +181,7 @@ def label_pixels(spark: SparkSession, directory: Path) -> DataFrame:
     v = COSMX_POLYGONS
 
     def read(prefix: str, name: str) -> DataFrame:
-        table = spark.read.schema("row int, col int, value int").parquet(str(directory / prefix))
+        table = spark.read.schema("row int, col int, value int").option("recursiveFileLookup", True).parquet(str(directory / prefix))
         fov = F.regexp_extract(F.col("_metadata.file_path"), r"_F(\d+)\.[^/]*(/[^/]*)?$", 1).cast("int")
         return table.select(fov.alias("fov"), "row", "col", F.col("value").alias(name))
 
