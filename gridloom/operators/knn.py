@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import cell
+from gridloom.operators.skew import HOT_ROWS, salted, spread_hot_keys
 from gridloom.session import cut_lineage
 
 # Candidates one search window may hold before it is refined.
@@ -37,6 +38,12 @@ def _candidates(points: DataFrame, k: int, ident: str, x: str, y: str) -> DataFr
     )
 
 
+def _fullest(table: DataFrame, x: str, y: str, side: float) -> int:
+    """Rows in the fullest grid cell."""
+    cells = table.groupBy(cell(F.col(x), side), cell(F.col(y), side)).count()
+    return cells.agg(F.max("count")).first()[0] or 0
+
+
 def _distance2() -> Column:
     dx, dy = F.col("qx") - F.col("cx"), F.col("qy") - F.col("cy")
     return dx * dx + dy * dy
@@ -81,8 +88,7 @@ def knn_within(
     limit2 = radius * radius
     near = F.col("d2") <= limit2 if closed else F.col("d2") < limit2
 
-    cells = candidates.groupBy(cell(F.col("cx"), side).alias("gx"), cell(F.col("cy"), side).alias("gy")).count()
-    densest = cells.agg(F.max("count")).first()[0] or 0
+    densest, busiest = _fullest(candidates, "cx", "cy", side), _fullest(asked, "qx", "qy", side)
     if densest > max_window:
         places = asked.select("qx", "qy").distinct()
         around = F.sequence(F.lit(-1), F.lit(1))
@@ -90,14 +96,17 @@ def knn_within(
             "ky", F.explode(F.transform(around, lambda o: cell(F.col("qy"), side) + o))
         )
         found = _refined(start, candidates, k, side, max_window).where(near)
-        return _finish(asked.join(_top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
+        return _finish(salted(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"], ["src"]))
 
     around = F.sequence(F.lit(-1), F.lit(1))
     looked = asked.withColumn("gx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
         "gy", F.explode(F.transform(around, lambda o: cell(F.col("qy"), side) + o))
     )
     placed = candidates.withColumn("gx", cell(F.col("cx"), side)).withColumn("gy", cell(F.col("cy"), side))
-    pairs = looked.join(placed, ["gx", "gy"]).withColumn("d2", _distance2()).where(near)
+    keys = ["gx", "gy"]
+    if busiest > HOT_ROWS:
+        looked, placed, keys = spread_hot_keys(looked, placed, keys, ["src"])
+    pairs = looked.join(placed, keys).withColumn("d2", _distance2()).where(near)
     return _finish(_top_k(pairs, ["src"], k))
 
 
@@ -127,7 +136,7 @@ def knn(
     places = asked.select("qx", "qy").distinct()
     start = places.withColumn("kx", F.explode(roots)).withColumn("ky", F.explode(roots))
     found = _refined(start, candidates, k, side, max_window)
-    return _finish(asked.join(_top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
+    return _finish(salted(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"], ["src"]))
 
 
 def _refined(start: DataFrame, candidates: DataFrame, k: int, side: float, max_window: int) -> DataFrame:

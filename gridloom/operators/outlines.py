@@ -12,6 +12,7 @@ from gridloom.functions import geometry as G
 from gridloom.functions import planar
 from gridloom.operators.skew import salted
 from gridloom.schemas import BOUNDARY_CODE, CELL_BOUNDARY, COSMX_MASK_CODES, COSMX_MPP, NUCLEUS_BOUNDARY, RING
+from gridloom.session import cut_lineage
 
 SHAPE_COLUMNS = ["area", "convexity", "elongation", "circularity"]
 RING_TYPE = "array<struct<x:double,y:double>>"
@@ -192,19 +193,20 @@ def cell_boundaries(
     placed = points.where(F.col(cell).isNotNull()).select(
         F.col(cell).cast("string").alias("cell_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    spots = placed.groupBy("cell_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    # Read by the sizes, the hull rounds and the final step.
+    spots = cut_lineage(placed.groupBy("cell_id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     sizes = spots.groupBy("cell_id").agg(F.sum("n").alias("n_transcripts"), F.count(F.lit(1)).alias("_spots"))
     kept = sizes.where(F.col("_spots") >= 3)
-    rings = _hulls(spots, kept, smoothing) if method == "convex_hull" else _outlines(
-        spots, kept, smoothing, connectivity, max_points
-    )
+    if method == "convex_hull":
+        rings = _hulls(spots, smoothing)
+    else:
+        rings = _outlines(spots, kept, smoothing, connectivity, max_points)
     return rings.join(kept.select("cell_id", "n_transcripts"), "cell_id").select("cell_id", "n_transcripts", "ring")
 
 
-def _hulls(spots: DataFrame, sizes: DataFrame, smoothing: int) -> DataFrame:
-    parts = sizes.select("cell_id", F.ceil(F.col("_spots") / F.lit(HULL_PART)).cast("int").alias("_parts"))
-    cut = salted(spots, parts, ["cell_id"], ["x", "y"]).withColumn("_part", F.pmod(F.xxhash64("x", "y"), "_parts"))
-    cut = for_python(cut, "cell_id", "_part")
+def _hulls(spots: DataFrame, smoothing: int) -> DataFrame:
+    """Hull per cell.  While some cell exceeds ``HULL_PART`` points, every cell is cut into
+    parts of about that size and replaced by the corners of the parts' hulls."""
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         hull = planar.convex_hull(pdf[["x", "y"]].to_numpy())
@@ -214,8 +216,21 @@ def _hulls(spots: DataFrame, sizes: DataFrame, smoothing: int) -> DataFrame:
         ring = planar.cell_outline(pdf[["x", "y"]].drop_duplicates().to_numpy(), "convex_hull", smoothing)
         return _one_ring(pdf["cell_id"].iloc[0], ring)
 
-    corners = cut.groupBy("cell_id", "_part").applyInPandas(partial, "cell_id string, x double, y double")
-    return corners.groupBy("cell_id").applyInPandas(final, f"cell_id string, ring {RING_TYPE}")
+    rest = spots.select("cell_id", "x", "y")
+    while True:
+        sizes = rest.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_n"))
+        biggest = sizes.agg(F.max("_n")).first()[0] or 0
+        if biggest <= HULL_PART:
+            break
+        parts = sizes.select("cell_id", F.ceil(F.col("_n") / F.lit(HULL_PART)).cast("int").alias("_parts"))
+        cut = salted(rest, parts, ["cell_id"], ["x", "y"]).withColumn("_part", F.pmod(F.xxhash64("x", "y"), "_parts"))
+        corners = for_python(cut, "cell_id", "_part").groupBy("cell_id", "_part")
+        rest = cut_lineage(corners.applyInPandas(partial, "cell_id string, x double, y double"))
+        left = rest.groupBy("cell_id").count().agg(F.max("count")).first()[0]
+        if left > biggest / 2:
+            # Nearly every point is a corner of the result itself.
+            break
+    return for_python(rest, "cell_id").groupBy("cell_id").applyInPandas(final, f"cell_id string, ring {RING_TYPE}")
 
 
 def _outlines(spots: DataFrame, sizes: DataFrame, smoothing: int, connectivity: float, max_points: int) -> DataFrame:

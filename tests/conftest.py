@@ -14,7 +14,9 @@ def spark(tmp_path_factory):
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            # Tiny inputs: compiling generated code would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
             "spark.driver.memory": "4g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
