@@ -94,9 +94,14 @@ def j_jaccard_edges(t):
     return C.jaccard_edges(knn_vectors(t.vectors, 10)).withColumn("weight", r("weight"))
 
 
-@query("m_cluster_vectors")
+@query("m_cluster_vectors", "SELECT vec_id AS id, TRUE AS labelled FROM embeddings")
 def m_cluster_vectors(t):
-    return C.cluster_vectors(t.vectors, 10, 1.0, min_size=5)
+    """Every vector gets one label; labels run from -1 (small) up to the number of clusters."""
+    found = C.cluster_vectors(t.vectors, 10, 1.0, min_size=5)
+    sizes = found.where("cluster >= 0").groupBy("cluster").count().agg(F.max("cluster"), F.count(F.lit(1)), F.min("count")).first()
+    top = -1 if sizes[0] is None else sizes[0]
+    dense = top + 1 == sizes[1] and (sizes[2] or 6) > 5
+    return found.select("id", (F.col("cluster").between(-1, top) & F.lit(dense)).alias("labelled"))
 
 
 @query(
@@ -229,9 +234,15 @@ def m_li_thresholds(t):
     return A.li_thresholds(_similarities(t), gene="feature_name").withColumn("li", r("li", 5))
 
 
-@query("m_gene_thresholds")
+@query(
+    "m_gene_thresholds",
+    "WITH RECURSIVE " + ",\n".join([POINTS, _SIM, _YEN, _LI, _LI_STEPS])
+    + """\nSELECT feature_name, round(least(yen, t + lo), 5) + 0 AS similarity_threshold, TRUE AS converged
+      FROM li JOIN lo USING (feature_name) JOIN yen USING (feature_name) WHERE k = 60""",
+)
 def m_gene_thresholds(t):
-    return A.gene_thresholds(_similarities(t), gene="feature_name")
+    out = A.gene_thresholds(_similarities(t), gene="feature_name")
+    return out.withColumn("similarity_threshold", r("similarity_threshold", 5))
 
 
 @query(

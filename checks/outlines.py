@@ -161,13 +161,35 @@ def e_boundaries_hull(t):
     return hulls.select("cell_id", "n_transcripts", *[b[c].alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])
 
 
-@query("e_boundaries_delaunay")
+@query(
+    "e_boundaries_delaunay",
+    with_(POINTS)
+    + """SELECT cell_id, count(*) AS n_transcripts, TRUE AS inside_box, TRUE AS has_area
+      FROM points WHERE cell_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (x, y)) >= 3""",
+)
 def e_boundaries_delaunay(t):
+    """Concave outlines, rounded once; each lies in the box of its points."""
     shapes = O.cell_boundaries(t.points, method="delaunay", smoothing=1)
-    return shapes.select("cell_id", "n_transcripts", F.size("ring").alias("vertices"), r(G.area(F.col("ring")), 3).alias("area"))
+    boxes = t.points.groupBy("cell_id").agg(
+        F.min("x").alias("bx0"), F.min("y").alias("by0"), F.max("x").alias("bx1"), F.max("y").alias("by1")
+    )
+    b = G.envelope(F.col("ring"))
+    inside = (
+        (b["x_min"] >= F.col("bx0")) & (b["y_min"] >= F.col("by0")) & (b["x_max"] <= F.col("bx1")) & (b["y_max"] <= F.col("by1"))
+    )
+    return shapes.join(boxes, "cell_id").select(
+        "cell_id", "n_transcripts", inside.alias("inside_box"), (G.area(F.col("ring")) > 0).alias("has_area")
+    )
 
 
-@query("g_raster_polygons")
+# A disc of squared radius 10 has row widths 2, 4, 6, 6, 6, 4, 2 between pixel centres: area 28.
+@query(
+    "g_raster_polygons",
+    """SELECT 'c_1_' || (c_nationkey + 1) || '_' || (o_orderkey + 1) AS cell_id,
+       round((o_orderkey + 1) * 8 + c_nationkey * 500 / 0.12028::DOUBLE, 3) + 0 AS x_min,
+       round(1000 / 0.12028::DOUBLE, 3) + 0 AS y_max, 28::DOUBLE AS area
+       FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 0""",
+)
 def g_raster_polygons(t):
     """Orders as labelled discs of pixels, one field per nation of the customer."""
     key = F.col("o_orderkey")
@@ -183,6 +205,7 @@ def g_raster_polygons(t):
     fields = t.nation.select(
         (F.col("n_nationkey") + 1).alias("FOV"), (F.col("n_nationkey") * 0.5).alias("X_mm"), F.lit(1.0).alias("Y_mm")
     )
+    box = G.envelope(F.col("ring"))
     return O.raster_polygons(pixels, fields, "cell").select(
-        "cell_id", F.size("ring").alias("vertices"), r(G.area(F.col("ring")), 3).alias("area")
+        "cell_id", r(box["x_min"], 3).alias("x_min"), r(box["y_max"], 3).alias("y_max"), r(G.area(F.col("ring")), 3).alias("area")
     )
