@@ -248,7 +248,8 @@ def m_gene_thresholds(t):
 @query(
     "m_assign",
     with_(POINTS)
-    + "SELECT row_index, qv / 50 * (x / 1100) AS similarity, cell_id AS assigned_cell_id FROM points",
+    + """SELECT row_index, similarity, cell_id AS assigned_cell_id FROM (SELECT *, qv / 50 * (x / 1100) AS similarity, row_number() OVER
+      (PARTITION BY row_index ORDER BY qv / 50 * (x / 1100) DESC, coalesce(CAST(cell_id AS BIGINT), -1)) AS k FROM points) WHERE k = 1""",
 )
 def m_assign(t):
     """The whole last stage; its per-gene thresholds have queries of their own."""
