@@ -82,7 +82,7 @@ def check_reference_genes(
     named = [r[0] for r in missing.orderBy(feature).limit(6).collect()]
     if named and strategy == "error":
         shown = ", ".join(named[:5]) + (", ..." if len(named) > 5 else "")
-        raise ValueError(f"{missing.count()} genes are not in the correlation reference: {shown}")
+        raise ValueError(f"the correlation reference lacks {missing.count()} genes: {shown}")
     low = totals(reference.join(genes, feature, "left_semi"), feature).where(F.col("n_counts") < min_counts)
     weak = [r[0] for r in low.orderBy(feature).limit(5).collect()]
     if weak:

@@ -276,7 +276,7 @@ def raster_polygons(pixels: DataFrame, fov_positions: DataFrame, boundary_type:
         "nucleus": [codes["nucleus"]],
     }
     if boundary_type not in valid:
-        raise ValueError(f"Invalid compartment {boundary_type!r}. Choose 'cell' or 'nucleus'.")
+        raise ValueError(f"boundary type must be 'cell' or 'nucleus', not {boundary_type!r}")
     kept = pixels.where((F.col("label") != 0) & F.col("comp").isin(valid[boundary_type]))
     # The border of a region only needs pixels with a missing 4-neighbour; interior ones
     # are dropped row by row before any label is gathered.

@@ -22,7 +22,7 @@ ALGORITHMS = ("best_fit", "first_fit", "harmonic")
 def _accepted(sizes, capacity, skip_too_big):
     fits = [(float(v), i) for i, v in enumerate(sizes) if 0 < v <= capacity]
     if len(fits) != len(sizes) and not skip_too_big:
-        raise ValueError("All sizes must be > 0 and <= capacity.")
+        raise ValueError("a size is zero or exceeds the capacity")
     return fits
 
 

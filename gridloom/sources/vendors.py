@@ -71,7 +71,7 @@ class Source:
 def _exactly_one(directory: Path, pattern: str, what: str) -> Path:
     found = sorted(directory.glob(pattern))
     if len(found) != 1:
-        raise OSError(f"{what} directory must contain exactly 1 entry matching {pattern}, but found {len(found)}.")
+        raise OSError(f"expected one {what} entry named {pattern} in {directory}, found {len(found)}")
     return found[0]
 
 
@@ -89,7 +89,7 @@ def _xenium_check(accept: Callable[[int], bool], wanted: str) -> Callable[[Path]
         version = software_version(directory)
         if not accept(version[0]):
             found = ".".join(map(str, version))
-            raise OSError(f"analysis software version must be {wanted}, but found {found}.")
+            raise OSError(f"this reader needs software version {wanted}; the directory was made by {found}")
         for name in (XENIUM_POINTS.filename, XENIUM_POLYGONS.cell_filename, XENIUM_POLYGONS.nucleus_filename):
             _exactly_one(directory, name, "sample")
 
@@ -136,18 +136,18 @@ def raster_preflight(directory: Path) -> None:
     v = COSMX_POLYGONS
     for pattern in (v.compartment_labels_dirname, v.cell_labels_dirname, v.fov_positions_filename):
         if not any(directory.glob(pattern)):
-            raise FileNotFoundError(f"No file or directory with pattern {pattern!r} found in {directory}.")
+            raise FileNotFoundError(f"{directory} has nothing named {pattern}")
     with open(next(directory.glob(v.fov_positions_filename)), newline="") as f:
         reader = csv.DictReader(f)
         missing = {"X_mm", "Y_mm"} - set(reader.fieldnames or [])
         if missing:
-            raise ValueError(f"Missing columns in FOV info: {', '.join(sorted(missing))}")
+            raise ValueError(f"the field position file lacks {', '.join(sorted(missing))}")
         fields = [row["FOV"].zfill(3) for row in reader]
     for prefix in (v.cell_labels_dirname, v.compartment_labels_dirname):
         actual = {p.name.rsplit(".", 1)[0] for p in (directory / prefix).iterdir()}
         absent = sorted({f"{prefix}_F{f}" for f in fields} - actual)
         if absent:
-            raise FileNotFoundError(f"Missing {len(absent)} {prefix} rasters:\n" + "\n".join(absent))
+            raise FileNotFoundError(f"{len(absent)} rasters are absent from {prefix}: " + ", ".join(absent))
 
 
 def _cosmx_check(directory: Path) -> None:
@@ -239,9 +239,9 @@ def infer_platform(directory: Path) -> str:
         except Exception as e:  # any failure just means "not this platform"
             problems.append(f"{name}: {e}")
     if not matches:
-        raise ValueError("Could not infer platform from data directory: " + "; ".join(problems))
+        raise ValueError("no platform fits this directory - " + "; ".join(problems))
     if len(matches) > 1:
-        raise ValueError("Ambiguous data directory: Multiple platforms match: " + ", ".join(matches))
+        raise ValueError("several platforms fit this directory: " + ", ".join(matches))
     return matches[0]
 
 
@@ -250,7 +250,7 @@ def open_source(spark: SparkSession, directory: str | Path, platform: str | None
     directory = Path(directory)
     name = platform or infer_platform(directory)
     if name.lower() not in LOADERS:
-        raise ValueError(f"Unknown platform: {name!r}. Available: {', '.join(LOADERS)}")
+        raise ValueError(f"no reader called {name!r}; there are {', '.join(LOADERS)}")
     loader = LOADERS[name.lower()]
     loader.check(directory)
     return Source(spark, directory, loader)
