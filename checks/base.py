@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import xy
-from gridloom.session import use_defaults
+from gridloom.session import ship_packages, use_defaults
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_packages(spark, ROOT, ("gridloom", "checks"))
             return f(Tables(use_defaults(spark), sf_dir))
 
         if name in REGISTRY:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,26 @@ def use_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_packages(spark: SparkSession, root: str, packages: tuple[str, ...]) -> None:
+    """Send source packages to the Python workers of a session made elsewhere, once per context.
+
+    Workers import the functions they run; they see the driver's folder only when they
+    happen to start in it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gridloom_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="gridloom-src-"), "gridloom_src.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for package in packages:
+            for folder, _, files in os.walk(os.path.join(root, package)):
+                for name in sorted(f for f in files if f.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._gridloom_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, read from ``spark.checkpoint.dir``.
 

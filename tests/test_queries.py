@@ -37,3 +37,9 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
