@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality_rules
+from gridloom.llm import mixing, quality_rules, token_counts
 from gridloom.llm.text import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 4: token counts -------------------------------------------------------------
+
+#: The vocabulary of the contract, and its budget.
+VOCABULARY = "word_bpe_49k.json"
+BUDGET = 2048
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    vocabulary = token_counts.read_vocabulary(vocabulary_path())
+    return token_counts.budget_answers(table(spark, sf_dir, "documents"), vocabulary, BUDGET)
+
+
 # --- 7: mixing ------------------------------------------------------------------
 
 MIX_SQL = f"""
