@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality_rules, token_counts
+from gridloom.llm import mixing, quality_rules, secrets, token_counts
 from gridloom.llm.text import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: secret scan -------------------------------------------------------------
+
+
+@register("op1_secret_scan")
+def op1_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def digest(findings):
+        return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda x: x["kind"] != "novel")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("findings")).alias("spans"), count("novel"),
+    )
+
+
 # --- 4: token counts -------------------------------------------------------------
 
 #: The vocabulary of the contract, and its budget.
