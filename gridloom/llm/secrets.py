@@ -29,8 +29,8 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words that make the text before a token sensitive, and what a candidate looks like.
 SENSITIVE = re.compile(
-    r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|client_?id|"
-    r"credential|auth(?:orization)?|bearer|signature|session_?id|cookie|licen[cs]e_?key|salt|aws)"
+    r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|\bkey\b|(?:api|access|private|licen[cs]e)[ _-]?key|client_?id|"
+    r"credential|auth(?:orization)?|bearer|signature|session_?id|cookie|salt|aws)"
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}")
 
@@ -99,7 +99,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], rule: Novelty) ->
             start += sign + 1
         token = text[start:end]
         kinds = bool(re.search("[a-z]", token)) + bool(re.search("[A-Z]", token)) + bool(re.search("[0-9]", token))
-        if kinds < 2 or any(a < end and start < b for a, _, b in taken) or any(a < end and start < b for a, _, b, _ in out):
+        # Words joined by signs, such as paths and slugs, are no keys.
+        longest = max(map(len, re.split(r"[-_/.]", token)))
+        if kinds < 2 or longest < 10 or any(a < end and start < b for a, _, b in taken) or any(a < end and start < b for a, _, b, _ in out):
             continue
         added = rule.added(token, text[max(0, start - rule.around) : start], text[end : end + rule.around])
         if added >= rule.least:
