@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, quality_rules, secrets, token_counts
-from gridloom.llm.text import prepare
+from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, token_counts
+from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +173,19 @@ def op8_quality_rules(spark, sf_dir):
         (~quality_rules.passes_policy("v1")).alias("base_failed"),
         quality_rules.passes_policy("v2").alias("kept"),
     )
+
+
+# --- 9: quality classifier ------------------------------------------------------
+
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"), "passages", "top_passage", "top_weight",
+    )
