@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, token_counts
+from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,22 @@ def op1_secret_scan(spark, sf_dir):
     )
 
 
+# --- 2: toxicity ----------------------------------------------------------------
+
+#: Score from which a document counts as toxic.
+TOXIC = 0.7
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"), "n_hits", "n_misspelled",
+    )
+
+
 # --- 4: token counts -------------------------------------------------------------
 
 #: The vocabulary of the contract, and its budget.
