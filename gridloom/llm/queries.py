@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,12 @@ def op9_quality_classifier(spark, sf_dir):
         "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score",
         (F.col("score") >= GOOD).cast("int").alias("predicted"), "passages", "top_passage", "top_weight",
     )
+
+
+# --- 10: language-model scores --------------------------------------------------
+
+
+@register("op10_lm_scores")
+def op10_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return suffix_tree.score(docs, suffix_tree.outside_fold(10, 0))
