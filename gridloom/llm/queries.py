@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
+from gridloom.llm import dart_minhash, decontaminate, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,15 @@ def op5_decontamination(spark, sf_dir):
     )
 
 
+# --- 6: near-duplicates ---------------------------------------------------------
+
+
+@register("op6_dart_minhash")
+def op6_dart_minhash(spark, sf_dir):
+    found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "keeper")
+
+
 # --- 7: mixing ------------------------------------------------------------------
 
 MIX_SQL = f"""
