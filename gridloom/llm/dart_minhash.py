@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 26, 5
 #: Length of the first rank interval; each later interval ends at twice its start.
 FIRST_RANKS = 1 / 64
+#: Rounds in which other members of a band lead, before its remaining pairs are compared.
+ROUNDS = 2
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,6 +173,51 @@ def _distances(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (1 - common / (F.size("_x") + F.size("_y") - common)).alias("distance"))
 
 
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows ``band, node, leader, root`` of bands whose members lie in several components."""
+    placed = shared.join(roots, "node", "left").select("band", "node", "leader", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    return placed.join(mixed, "band")
+
+
+def _remaining(left: DataFrame, measured: DataFrame, nodes: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the pairs of members of different components in a band that can still be links.
+
+    Three bounds rule pairs out, none of them a link.  Distance is a metric, so the distances of
+    both to the band's leader differ by no more than their own.  Cells that no other of these
+    texts has cannot be common: with c the fewer of the other cells, the similarity is at most
+    c / (sizes - c).  And a pair is made once, in the first band that it shares.
+    """
+    names = left.select("node").distinct()
+    alone = (
+        content.join(names, "node").select("node", F.explode("cells").alias("cell"))
+        .groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+        .groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    known = nodes.select("node", "n_cells", "bands").join(names, "node").join(alone, "node", "left").select(
+        "node", "n_cells", (F.col("n_cells") - F.coalesce("alone", F.lit(0))).alias("common"), "bands"
+    )
+    led = measured.select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance")
+    rows = cut_lineage(
+        left.join(led, ["node", "leader"], "left").join(known, "node")
+        .select("band", "node", "root", F.coalesce("distance", F.lit(0.0)).alias("distance"), "n_cells", "common", "bands")
+        # A text with too many cells of its own has no link at all; a leader has met them all.
+        .where((F.col("common") >= similarity * F.col("n_cells")) & (F.col("distance") > 0))
+    )
+    x, y = rows.alias("x"), rows.alias("y")
+    both = F.least("x.common", "y.common")
+    # Bands are hashes with their number in them, so equal values are the same band.
+    shares = F.array_position(F.transform(F.arrays_zip(F.col("x.bands").alias("p"), F.col("y.bands").alias("q")), lambda z: z["p"] == z["q"]), True)
+    here = F.array_position("x.bands", F.col("x.band"))
+    return x.join(
+        y,
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-12)
+        & (both >= similarity * (F.col("x.n_cells") + F.col("y.n_cells") - both))
+        & (shares == here),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, n_bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -201,44 +248,28 @@ def near_duplicates(
     members = nodes.select("node", F.explode("bands").alias("band"))
     led = members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = cut_lineage(members.join(led, "band"))
-    sizes = nodes.select("node", "n_cells")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        a, b = sizes.select(F.col("node").alias("a"), F.col("n_cells").alias("_m")), sizes.select(F.col("node").alias("b"), F.col("n_cells").alias("_n"))
-        return pairs.join(a, "a").join(b, "b").where(F.least("_m", "_n") >= similarity * F.greatest("_m", "_n")).select("a", "b")
-
     pairs = shared.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     rows = shared.select("node").distinct().join(nodes.select("node", "row"), "node").select("row.doc_id", "row.text_hash", "node")
     content = _cells_of(docs, rows, shingle)
     measured = cut_lineage(_distances(pairs, content))
     close = 1 - similarity + 1e-12
-    links = measured.where(F.col("distance") <= close).select("a", "b")
-    roots = cut_lineage(components(links))
-
-    # Bands that hold several components: their other pairs, unless the distances to the leader
-    # already tell them apart (the distance is a metric).
-    placed = (
-        shared.join(measured.select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance"), ["node", "leader"], "left")
-        .join(roots, "node", "left")
-        .select("band", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("root", "node").alias("root"))
-    )
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    left = cut_lineage(placed.join(mixed, "band"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = (
-        x.join(y, F.col("x.band") == F.col("y.band"))
-        .where(
-            (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-            & (F.col("x.distance") > 0) & (F.col("y.distance") > 0)
-            & (F.abs(F.col("x.distance") - F.col("y.distance")) <= close)
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    more = _distances(alike(rest), content).where(F.col("distance") <= close).select("a", "b")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = cut_lineage(components(measured.where(F.col("distance") <= close).select("a", "b")))
+
+    # Bands that still hold several components: other members lead in turn.
+    for turn in range(ROUNDS):
+        left = cut_lineage(_mixed(shared, roots))
+        if left.isEmpty():
+            break
+        chosen = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "root")).alias("_l"))
+        tried = left.join(chosen, "band").where(F.col("root") != F.col("_l.root"))
+        new = tried.select(F.least("node", "_l.node").alias("a"), F.greatest("node", "_l.node").alias("b")).distinct()
+        found = _distances(new, content).where(F.col("distance") <= close).select("a", "b")
+        roots = cut_lineage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
+    left = cut_lineage(_mixed(shared, roots))
+    if not left.isEmpty():
+        rest = _remaining(left, measured, nodes, content, similarity)
+        found = _distances(rest, content).where(F.col("distance") <= close).select("a", "b")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
     labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     rooted = cut_lineage(filled.select("doc_id", "text_hash", "node").join(labelled, "node"))
