@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import dart_minhash, decontaminate, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
+from gridloom.llm import dart_minhash, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,23 @@ def op2_toxicity(spark, sf_dir):
     )
 
 
+# --- 3: line dedup --------------------------------------------------------------
+
+
+@register("op3_line_dedup")
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lists = line_dedup.drop_lists(line_dedup.line_classes(docs))
+    theirs = lists.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_own"))
+    both = keyed.join(theirs, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
+    none = F.lit(0).cast("long")
+    return both.select(
+        "doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("n_repeated", none).alias("n_repeated"),
+        F.coalesce(F.size("drop").cast("long"), none).alias("n_dropped"), F.coalesce(F.array_join("drop", ","), F.lit("")).alias("dropped"),
+    )
+
+
 # --- 4: token counts -------------------------------------------------------------
 
 #: The vocabulary of the contract, and its budget.
