@@ -292,10 +292,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     gone = found.where(~F.col("keeper")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
     own = F.xxhash64(docs["text"])
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (own == F.col("_h")), "left_anti")
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (own == gone["_h"]), "left_anti")
     twins = found.where("keeper AND class_size > 1").groupBy("doc_id", "text_hash").count().where("count > 1")
     twins = cut_lineage(twins.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")))
     if twins.isEmpty():
         return stay
-    same = stay["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(stay["text"]) == F.col("_h"))
+    same = stay["doc_id"].eqNullSafe(twins["_d"]) & (F.xxhash64(stay["text"]) == twins["_h"])
     return stay.join(twins, same, "left_anti").unionByName(stay.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))

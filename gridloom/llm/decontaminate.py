@@ -171,4 +171,4 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     Edge cases as in ``contamination``; a document without words is clean.
     """
     dirty = contamination(docs, items, width).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_d"]) & (F.xxhash64(docs["text"]) == dirty["_h"]), "left_anti")

@@ -21,6 +21,7 @@ def labelled_sample(
     left out.  The drawn ids and labels (16 bytes a row, at most ``rows`` of them but for the
     spread of the draw) are broadcast, so no text is shuffled.
     """
+    require(docs, "doc_id", "text")
     require(labels, "doc_id", label)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_fold("doc_id", modulus, held_out))
@@ -30,4 +31,5 @@ def labelled_sample(
     total = known.count()
     share = min(_STEPS, int(_STEPS * rows / max(total, 1)))
     drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(label)), F.lit(_STEPS)) < share)
-    return docs.join(F.broadcast(drawn), docs["doc_id"] == drawn["_id"]).select(docs["doc_id"], docs["text"], "label")
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
