@@ -8,7 +8,7 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands.  Texts that share a band are compared with one of them (the
 exact similarity of their elements), links make components, and only where a band still holds
-more than one component are its other pairs compared.
+more than one component are its other pairs bounded and, where the bound allows, compared.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
@@ -33,6 +33,8 @@ BANDS, BAND_ROWS = 26, 5
 FIRST_RANKS = 1 / 64
 #: Rounds in which other members of a band lead, before its remaining pairs are compared.
 ROUNDS = 2
+#: 64-bit words of a bitmap of missing cells.
+GAP_WORDS = 4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,13 +182,35 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "band")
 
 
-def _remaining(left: DataFrame, measured: DataFrame, nodes: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
+def _against_leader(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """``node, leader, n_led`` (cells of the leader)``, beyond`` (cells that the leader lacks)`` and ``gaps``.
+
+    ``gaps`` is a bitmap of the leader's cells that the node lacks, by hash, in 64-bit words: two
+    nodes together lack at least as many of the leader's cells as their bitmaps together have bits.
+    """
+    left = content.select("node", F.col("cells").alias("_x"))
+    right = content.select(F.col("node").alias("leader"), F.col("cells").alias("_y"))
+    both = pairs.join(left, "node").join(right, "leader").select("node", "leader", "_x", "_y", F.array_except("_y", "_x").alias("_lack"))
+
+    def word(i: int) -> Column:
+        mine = F.filter("_lack", lambda c: F.pmod(F.shiftright(c, 6), F.lit(GAP_WORDS)) == i)
+        bits = F.transform(mine, lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda w, b: w.bitwiseOR(b))
+
+    lack = F.size("_lack")
+    return both.select(
+        "node", "leader", F.size("_y").alias("n_led"), (F.size("_x") - F.size("_y") + lack).alias("beyond"),
+        F.array(*[word(i) for i in range(GAP_WORDS)]).alias("gaps"),
+    )
+
+
+def _remaining(left: DataFrame, nodes: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the pairs of members of different components in a band that can still be links.
 
-    Three bounds rule pairs out, none of them a link.  Distance is a metric, so the distances of
-    both to the band's leader differ by no more than their own.  Cells that no other of these
-    texts has cannot be common: with c the fewer of the other cells, the similarity is at most
-    c / (sizes - c).  And a pair is made once, in the first band that it shares.
+    Exact bounds rule the others out.  Cells that no other of these texts has are common to no
+    pair, so of the cells beyond the leader's at most the rest are; and of the leader's cells a pair
+    has at most those that neither lacks.  The similarity is at most c / (sizes - c) for the sum c
+    of both.  A pair is made once, in the first band that it shares.
     """
     names = left.select("node").distinct()
     alone = (
@@ -195,24 +219,22 @@ def _remaining(left: DataFrame, measured: DataFrame, nodes: DataFrame, content:
         .groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     )
     known = nodes.select("node", "n_cells", "bands").join(names, "node").join(alone, "node", "left").select(
-        "node", "n_cells", (F.col("n_cells") - F.coalesce("alone", F.lit(0))).alias("common"), "bands"
+        "node", "n_cells", F.coalesce("alone", F.lit(0)).alias("alone"), "bands"
     )
-    led = measured.select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance")
-    rows = cut_lineage(
-        left.join(led, ["node", "leader"], "left").join(known, "node")
-        .select("band", "node", "root", F.coalesce("distance", F.lit(0.0)).alias("distance"), "n_cells", "common", "bands")
-        # A text with too many cells of its own has no link at all; a leader has met them all.
-        .where((F.col("common") >= similarity * F.col("n_cells")) & (F.col("distance") > 0))
-    )
+    # A text with too many cells of its own has no link at all; a leader has met all the others.
+    open_ = (F.col("n_cells") - F.col("alone") >= similarity * F.col("n_cells")) & (F.col("node") != F.col("leader"))
+    rows = cut_lineage(left.join(known, "node").where(open_))
+    led = _against_leader(rows.select("node", "leader").distinct(), content)
+    rows = cut_lineage(rows.join(led, ["node", "leader"]).withColumn("rest", F.col("beyond") - F.col("alone")))
     x, y = rows.alias("x"), rows.alias("y")
-    both = F.least("x.common", "y.common")
+    lacked = sum((F.bit_count(F.col("x.gaps")[i].bitwiseOR(F.col("y.gaps")[i])) for i in range(GAP_WORDS)), F.lit(0))
+    both = F.col("x.n_led") - lacked + F.least("x.rest", "y.rest")
     # Bands are hashes with their number in them, so equal values are the same band.
     shares = F.array_position(F.transform(F.arrays_zip(F.col("x.bands").alias("p"), F.col("y.bands").alias("q")), lambda z: z["p"] == z["q"]), True)
     here = F.array_position("x.bands", F.col("x.band"))
     return x.join(
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-12)
         & (both >= similarity * (F.col("x.n_cells") + F.col("y.n_cells") - both))
         & (shares == here),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -267,7 +289,7 @@ def near_duplicates(
         roots = cut_lineage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
     left = cut_lineage(_mixed(shared, roots))
     if not left.isEmpty():
-        rest = _remaining(left, measured, nodes, content, similarity)
+        rest = _remaining(left, nodes, content, similarity)
         found = _distances(rest, content).where(F.col("distance") <= close).select("a", "b")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 

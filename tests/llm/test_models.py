@@ -55,6 +55,10 @@ def labelled(spark, kind):
 
 def test_toxicity_held_out(llm):
     docs, labels, truth = labelled(llm, "toxic")
+    # Junk pages of this table are made over after they were labelled; toxic ones among them have
+    # lost their terms.
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    truth = {i: y for i, y in truth.items() if y == 0 or i in good}
     got = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     held = [(truth[r["doc_id"]], r["score"]) for r in got if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
