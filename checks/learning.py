@@ -184,8 +184,8 @@ def m_score_edges(t):
 @query(
     "m_predict",
     with_(_SCORED)
-    + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS k FROM sc WHERE similarity >= 0.2) WHERE k = 1)
-      SELECT vec_id AS row_index, CAST(coalesce(dst, -1) AS BIGINT) AS cell_encoding, coalesce(similarity, 0) AS similarity, CAST(label AS BIGINT) AS gene_encoding
+    + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS k FROM sc) WHERE k = 1)
+      SELECT vec_id AS row_index, CAST(CASE WHEN similarity >= 0.2 THEN dst ELSE -1 END AS BIGINT) AS cell_encoding, coalesce(similarity, 0) AS similarity, CAST(label AS BIGINT) AS gene_encoding
       FROM embeddings LEFT JOIN best ON src = vec_id WHERE vec_id % 3 <> 0""",
 )
 def m_predict(t):
@@ -245,14 +245,20 @@ def m_gene_thresholds(t):
     return out.withColumn("similarity_threshold", r("similarity_threshold", 5))
 
 
+_KEPT = """kept AS (SELECT * FROM (SELECT *, qv / 50 * (x / 1100) AS similarity, row_number() OVER
+  (PARTITION BY row_index ORDER BY qv / 50 * (x / 1100) DESC, coalesce(CAST(cell_id AS BIGINT), -1)) AS k FROM points) WHERE k = 1),
+sim AS (SELECT row_index, feature_name, similarity AS s FROM kept WHERE cell_id IS NOT NULL)"""
+
+
 @query(
     "m_assign",
-    with_(POINTS)
-    + """SELECT row_index, similarity, cell_id AS assigned_cell_id FROM (SELECT *, qv / 50 * (x / 1100) AS similarity, row_number() OVER
-      (PARTITION BY row_index ORDER BY qv / 50 * (x / 1100) DESC, coalesce(CAST(cell_id AS BIGINT), -1)) AS k FROM points) WHERE k = 1""",
+    "WITH RECURSIVE " + ",\n".join([POINTS, _KEPT, _YEN, _LI, _LI_STEPS])
+    + """, th AS (SELECT feature_name, round(least(yen, t + lo), 5) + 0 AS similarity_threshold
+      FROM li JOIN lo USING (feature_name) JOIN yen USING (feature_name) WHERE k = 60)
+      SELECT row_index, similarity, cell_id AS assigned_cell_id, similarity_threshold, CASE WHEN similarity_threshold IS NOT NULL THEN TRUE END AS converged
+      FROM kept LEFT JOIN th USING (feature_name)""",
 )
 def m_assign(t):
-    """The whole last stage; its per-gene thresholds have queries of their own."""
     cells = t.supplier.select(F.col("s_suppkey").cast("string").alias("cell_id"), F.col("s_suppkey").alias("cell_encoding"))
     predictions = t.points.select(
         "row_index",
@@ -260,8 +266,7 @@ def m_assign(t):
         (F.col("qv") / 50 * (F.col("x") / 1100)).alias("similarity"),
         F.substring("feature_name", 7, 5).cast("long").alias("gene_encoding"),
     )
-    out = A.assign(predictions, cells)
-    return out.select("row_index", "similarity", "assigned_cell_id")
+    return A.assign(predictions, cells).withColumn("similarity_threshold", r("similarity_threshold", 5))
 
 
 # --- losses ---------------------------------------------------------------------

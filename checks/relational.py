@@ -518,16 +518,22 @@ def w_positions(t):
     )
 
 
+# A draw of the sampling operators: 52 bits of md5(key:seed).
+_DRAW = "CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':0'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+
+
 @query(
     "o_sample_per_group",
-    "SELECT l_suppkey, least(count(*), 120) AS n FROM lineitem GROUP BY 1",
+    with_(POINTS)
+    + f"""SELECT row_index % 100000 AS l_suppkey, row_index FROM points
+      QUALIFY row_number() OVER (PARTITION BY row_index % 100000 ORDER BY {_DRAW.format(key="row_index")}, row_index) <= 120""",
 )
 def o_sample_per_group(t):
     lines = t.points.select(F.pmod("row_index", F.lit(100000)).alias("l_suppkey"), "row_index")
-    return S.sample_per_group(lines, "l_suppkey", "row_index", 120).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return S.sample_per_group(lines, "l_suppkey", "row_index", 120)
 
 
-@query("o_split_tiles")
+@query("o_split_tiles", f"SELECT c_custkey AS tile_id, {_DRAW.format(key='c_custkey')} < 0.75 AS is_train FROM customer")
 def o_split_tiles(t):
     return S.split_tiles(t.customer.select(F.col("c_custkey").alias("tile_id")), 0.75)
 

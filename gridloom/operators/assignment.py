@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import cosine
-from gridloom.operators.sampling import sample_per_group
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 from gridloom.session import cut_lineage
 
-# Histogram bins, Li iterations and similarities sampled per gene.
+# Histogram bins and Li iterations.
 YEN_BINS = 256
 LI_MAX_ITERATIONS = 250
-SAMPLE_PER_GENE = 10_000_000
+# Slots of a gene's range in the search for the smallest gap.
+GAP_SLOTS = 4096
 
 
 def score_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -26,30 +24,31 @@ def score_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     a = src.select(F.col("id").alias("src"), F.col("embedding").alias("_a"))
     b = dst.select(F.col("id").alias("dst"), F.col("embedding").alias("_b"))
     joined = edges.join(a, "src")
-    scored = salted(joined, b, ["dst"], ["src", "dst"]).withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
+    scored = keyed_join(joined, b, ["dst"]).withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
     return scored.drop("_a", "_b")
 
 
-def best_per_source(scored: DataFrame, min_similarity: float | None = None) -> DataFrame:
+def best_per_source(scored: DataFrame) -> DataFrame:
     """``(src, dst, similarity)`` with the highest similarity, ties to the smaller ``dst``.
 
     A maximum over structs: no sort, and partial maxima are taken before the shuffle.
     """
-    kept = scored if min_similarity is None else scored.where(F.col("similarity") >= min_similarity)
-    best = kept.groupBy("src").agg(F.max(F.struct("similarity", (-F.col("dst")).alias("m"))).alias("best"))
+    best = scored.groupBy("src").agg(F.max(F.struct("similarity", (-F.col("dst")).alias("m"))).alias("best"))
     return best.select("src", (-F.col("best.m")).alias("dst"), F.col("best.similarity").alias("similarity"))
 
 
 def predict(nodes: DataFrame, scored: DataFrame, min_similarity: float | None = None) -> DataFrame:
     """Prediction rows of core points; without a candidate the cell is -1 and similarity 0.
 
-    ``nodes`` is ``(row_index, gene_encoding[, is_core])``.
+    The best candidate is found first; below ``min_similarity`` its cell becomes -1 and its
+    similarity stays.  ``nodes`` is ``(row_index, gene_encoding[, is_core])``.
     """
     core = nodes.where("is_core") if "is_core" in nodes.columns else nodes
-    best = best_per_source(scored, min_similarity).withColumnRenamed("src", "row_index")
+    best = best_per_source(scored).withColumnRenamed("src", "row_index")
+    cell = F.col("dst") if min_similarity is None else F.when(F.col("similarity") >= min_similarity, F.col("dst"))
     return core.join(best, "row_index", "left").select(
         F.col("row_index").cast("long"),
-        F.coalesce(F.col("dst").cast("long"), F.lit(-1).cast("long")).alias("cell_encoding"),
+        F.coalesce(cell.cast("long"), F.lit(-1).cast("long")).alias("cell_encoding"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         F.col("gene_encoding").cast("long"),
     )
@@ -74,7 +73,7 @@ def decode_cells(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     left = predictions.withColumn("cell_encoding", code)
     # The unassigned rows share one null key; they need no lookup at all.
     found = left.where(F.col("cell_encoding").isNotNull())
-    decoded = salted(found, known, ["cell_encoding"], ["row_index"], "left")
+    decoded = keyed_join(found, known, ["cell_encoding"], "left")
     none = left.where(F.col("cell_encoding").isNull()).withColumn("assigned_cell_id", F.lit(None).cast("string"))
     return decoded.unionByName(none).drop("cell_encoding")
 
@@ -114,63 +113,79 @@ def yen_thresholds(
     return best.select(gene, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(centre).alias("yen"))
 
 
-def li_threshold(values: np.ndarray, weights: np.ndarray, max_iter: int = LI_MAX_ITERATIONS) -> tuple[float, bool]:
-    """Li & Tam (1998) minimum cross-entropy on distinct sorted values with their counts."""
-    if len(values) == 1:
-        return float(values[0]), True
-    low = values[0]
-    v = values - low
-    tolerance = np.diff(v).min() / 2
-    n_below, s_below = np.cumsum(weights), np.cumsum(weights * v)
-    n_all, s_all = n_below[-1], s_below[-1]
-    current, following, steps = -2 * tolerance, s_all / n_all, 1
-    while abs(following - current) > tolerance:
-        current = following
-        at = np.searchsorted(v, current, side="right") - 1
-        back, fore = s_below[at] / n_below[at], (s_all - s_below[at]) / max(n_all - n_below[at], 1)
-        if back == 0.0 or fore == 0.0:
-            break
-        following = (back - fore) / (np.log(back) - np.log(fore))
-        steps += 1
-        if steps > max_iter:
-            return float("nan"), False
-    return float(following + low), True
+def smallest_gap(values: DataFrame, gene: str, value: str, slots: int = GAP_SLOTS) -> DataFrame:
+    """``(gene, _gap)``: the least distance between two distinct values of a gene, null for one value.
+
+    ``values`` is distinct.  A gene's range is cut into slots; neighbours are looked for inside
+    each slot, and between a slot's largest value and the next one's smallest, so that no task
+    orders all values of a busy gene.
+    """
+    ends = values.groupBy(gene).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * slots)
+    slotted = keyed_join(values.select(gene, value), ends, [gene]).withColumn("_slot", F.coalesce(at, F.lit(0)))
+    before = F.lag(value).over(Window.partitionBy(gene, "_slot").orderBy(value))
+    inside = slotted.withColumn("_step", F.col(value) - before).groupBy(gene, "_slot").agg(
+        F.min("_step").alias("_step"), F.min(value).alias("_first"), F.max(value).alias("_last")
+    )
+    jump = F.col("_first") - F.lag("_last").over(Window.partitionBy(gene).orderBy("_slot"))
+    return inside.withColumn("_jump", jump).groupBy(gene).agg(F.least(F.min("_step"), F.min("_jump")).alias("_gap"))
 
 
 def li_thresholds(
-    scores: DataFrame,
-    *,
-    gene: str = "gene_encoding",
-    value: str = "similarity",
-    ident: str = "row_index",
-    max_iter: int = LI_MAX_ITERATIONS,
-    sample: int = SAMPLE_PER_GENE,
+    scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity", max_iter: int = LI_MAX_ITERATIONS
 ) -> DataFrame:
-    """Iterative threshold per gene: ``(gene, li, converged)``.
+    """Li & Tam (1998) minimum cross-entropy per gene: ``(gene, li, converged)``.
 
-    The operator is defined on at most ``sample`` similarities of each gene, drawn by
-    hash; equal values are merged first, so a task holds no more than that many.
+    From the mean on, the next threshold comes from the means of the values at or below the
+    current one and of those above, until it moves by no more than half the smallest gap between
+    values.  Equal values are merged first; then all genes take each step together: one
+    aggregation with sums below the thresholds, which are one row per gene.
     """
-    drawn = sample_per_group(scores.select(gene, value, ident), gene, ident, sample)
-    merged = drawn.groupBy(gene, value).agg(F.count(F.lit(1)).alias("_w"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        li, ok = li_threshold(pdf[value].to_numpy(dtype=float), pdf["_w"].to_numpy(dtype=float), max_iter)
-        return pd.DataFrame({gene: [pdf[gene].iloc[0]], "li": [li], "converged": [ok]})
-
-    kind = scores.schema[gene].dataType.simpleString()
-    return merged.groupBy(gene).applyInPandas(run, f"`{gene}` {kind}, li double, converged boolean")
-
-
-def gene_thresholds(scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity", ident: str = "row_index") -> DataFrame:
+    merged = cut_lineage(
+        scores.where(F.col(value).isNotNull()).groupBy(gene, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    )
+    low = merged.groupBy(gene).agg(F.min("_v").alias("_low"))
+    shifted = cut_lineage(keyed_join(merged, low, [gene]).withColumn("_v", F.col("_v") - F.col("_low")))
+    sums = shifted.groupBy(gene).agg(
+        F.first("_low").alias("_low"), F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("_k")
+    )
+    gaps = smallest_gap(shifted, gene, "_v")
+    start = keyed_join(sums, gaps, [gene]).select(
+        gene, "_low", "_n", "_s", (F.col("_gap") / 2).alias("_tol"), (F.col("_s") / F.col("_n")).alias("_t"),
+        (F.col("_k") == 1).alias("_done"), F.lit(True).alias("converged"),
+    )
+    state = cut_lineage(start)
+    step = 1
+    while not state.where(~F.col("_done")).isEmpty():
+        open_ = state.where(~F.col("_done"))
+        mine = F.col("_v") <= F.col("_t")
+        below = (
+            keyed_join(shifted.select(gene, "_v", "_w"), open_.select(gene, "_t"), [gene])
+            .groupBy(gene)
+            .agg(F.sum(F.when(mine, F.col("_w")).otherwise(0.0)).alias("_nb"), F.sum(F.when(mine, F.col("_w") * F.col("_v")).otherwise(0.0)).alias("_sb"))
+        )
+        step += 1
+        back = F.col("_sb") / F.col("_nb")
+        fore = (F.col("_s") - F.col("_sb")) / F.greatest(F.col("_n") - F.col("_nb"), F.lit(1.0))
+        stuck = (F.col("_b") == 0) | (F.col("_f") == 0)
+        moved = keyed_join(open_, below, [gene]).withColumns({"_b": back, "_f": fore})
+        following = F.when(stuck, F.col("_t")).otherwise((F.col("_b") - F.col("_f")) / (F.ln("_b") - F.ln("_f")))
+        moved = moved.withColumn("_next", following).select(
+            gene, "_low", "_n", "_s", "_tol", F.col("_next").alias("_t"),
+            (stuck | (F.abs(F.col("_next") - F.col("_t")) <= F.col("_tol")) | F.lit(step > max_iter)).alias("_done"),
+            (stuck | F.lit(step <= max_iter)).alias("converged"),
+        )
+        state = cut_lineage(state.where("_done").unionByName(moved))
+    value_found = F.when(F.col("converged"), F.col("_t") + F.col("_low")).otherwise(F.lit(float("nan")))
+    return state.select(gene, value_found.alias("li"), "converged")
+
+
+def gene_thresholds(scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity") -> DataFrame:
     """``(gene, similarity_threshold, converged)``: the smaller of Yen and Li.
 
     A gene whose iteration does not converge gets the median of the other thresholds.
     """
-    both = yen_thresholds(scores, gene=gene, value=value).join(
-        li_thresholds(scores, gene=gene, value=value, ident=ident), gene
-    )
+    both = yen_thresholds(scores, gene=gene, value=value).join(li_thresholds(scores, gene=gene, value=value), gene)
     return backfill_thresholds(both.select(gene, F.least("yen", "li").alias("similarity_threshold"), "converged"))
 
 
@@ -186,7 +201,7 @@ def assign(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     """Predictions of all tiles -> the segmentation output table."""
     # Read by the histogram, the iteration and the result.
     decoded = cut_lineage(decode_cells(keep_best_rows(predictions), cells))
-    thresholds = gene_thresholds(decoded.where(F.col("assigned_cell_id").isNotNull()))
+    thresholds = cut_lineage(gene_thresholds(decoded.where(F.col("assigned_cell_id").isNotNull())))
     return decoded.join(thresholds, "gene_encoding", "left").select(
         "row_index", "similarity", "assigned_cell_id", "similarity_threshold", "converged"
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.knn import knn, knn_within
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 
 
 def expression_summary(counts: DataFrame, cell_types: DataFrame, min_counts: int = 2) -> DataFrame:
@@ -83,7 +83,7 @@ def neighbour_frequencies(
     else:
         edges = knn_within(cells, k, max_distance, ident="cell_id", closed=True)
     types = cells.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("neighbour_type"))
-    counted = salted(edges, types, ["dst"], ["src"]).groupBy(F.col("src").alias("cell_id"), "neighbour_type").agg(
+    counted = keyed_join(edges, types, ["dst"]).groupBy(F.col("src").alias("cell_id"), "neighbour_type").agg(
         F.count(F.lit(1)).alias("freq")
     )
     if not normalize:

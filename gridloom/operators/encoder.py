@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import sinusoidal
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 
 # Negative slope of the attention and width of the position code.
 LEAKY_SLOPE = 0.2
@@ -160,7 +160,7 @@ def attention_edges(
     channels = w["left"].shape[1] // n_heads
     left = _dense(src, "h", "left", w["left"], w["left_bias"]).select("tile_id", F.col("id").alias("src"), "left")
     right = _dense(dst, "h", "right", w["right"], w["right_bias"]).select("tile_id", F.col("id").alias("dst"), "right")
-    joined = salted(edges.join(left, ["tile_id", "src"]), right, ["tile_id", "dst"], ["src", "dst"])
+    joined = keyed_join(edges.join(left, ["tile_id", "src"]), right, ["tile_id", "dst"])
     att = w["attention"]
 
     def score(h: int) -> Column:
@@ -172,7 +172,7 @@ def attention_edges(
 
     scored = joined.select("tile_id", "src", "dst", "left", *[score(h).alias(f"s{h}") for h in range(n_heads)])
     top = scored.groupBy("tile_id", "dst").agg(*[F.max(f"s{h}").alias(f"m{h}") for h in range(n_heads)])
-    shifted = salted(scored, top, ["tile_id", "dst"], ["src", "dst"])
+    shifted = keyed_join(scored, top, ["tile_id", "dst"])
     weights = F.array(*[F.exp(F.col(f"s{h}") - F.col(f"m{h}")) for h in range(n_heads)])
     return shifted.select("tile_id", "src", "dst", "left", weights.alias("a"))
 
@@ -181,7 +181,7 @@ def attention_weights(weighted: DataFrame) -> DataFrame:
     """Soft-maxed weight of every edge and head: ``(tile_id, src, dst, head, weight)``."""
     long = weighted.select("tile_id", "src", "dst", F.posexplode("a").alias("head", "a"))
     total = long.groupBy("tile_id", "dst", "head").agg(F.sum("a").alias("t"))
-    joined = salted(long, total, ["tile_id", "dst", "head"], ["src", "dst"])
+    joined = keyed_join(long, total, ["tile_id", "dst", "head"])
     return joined.select("tile_id", "src", "dst", "head", (F.col("a") / F.col("t")).alias("weight"))
 
 

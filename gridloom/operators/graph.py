@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.sampling import uniform
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 from gridloom.operators.standardize import reference_mask
 
 # Null join keys are spread over this many values that match nothing.
@@ -32,7 +32,7 @@ def training_points(points: DataFrame, genes: DataFrame, cells: DataFrame, mode:
     keyed = points.join(g, "feature_name").withColumn(
         "_key", _spread_nulls(F.when(reference_mask(F.col("cell_compartment"), mode), F.col("cell_id")), "row_index")
     )
-    joined = salted(keyed, c, ["_key"], ["row_index"], "left").drop("_key")
+    joined = keyed_join(keyed, c, ["_key"], "left").drop("_key")
     return joined.withColumn("cell_cluster", F.coalesce("cell_cluster", F.lit(-1))).select(
         "row_index",
         "x",
@@ -73,7 +73,7 @@ def typed_edges(neighbours: DataFrame, belongs: DataFrame, candidates: DataFrame
 def _attach(edges: DataFrame, nodes: DataFrame, end: str, columns: dict[str, str], how: str = "inner") -> DataFrame:
     """Join node columns to one end of the edges; a hub node is spread over several tasks."""
     side = nodes.select(F.col("id").alias(end), *[F.col(a).alias(b) for a, b in columns.items()])
-    return salted(edges, side, [end], ["src", "dst"], how)
+    return keyed_join(edges, side, [end], how)
 
 
 def partition_edges(edges: DataFrame, src_labels: DataFrame, dst_labels: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def induced_edges(edges: DataFrame, src_context: DataFrame, dst_context: DataFra
     """
     left = _attach(edges, src_context, "src", {"tile_id": "tile_id"})
     right = dst_context.select("tile_id", F.col("id").alias("dst"))
-    return salted(left, right, ["tile_id", "dst"], ["src", "dst"]).select("tile_id", "src", "dst")
+    return keyed_join(left, right, ["tile_id", "dst"]).select("tile_id", "src", "dst")
 
 
 def local_ids(nodes: DataFrame, ident: str, *, tile: str = "tile_id") -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.skew import HOT_ROWS, spread_hot_keys
 
 # Fixed bound on the levels: cell sides from 2**-20 to 2**40.  The set of levels
 # in use is therefore never more than 61 values.
@@ -65,9 +64,7 @@ def point_box_join(
     *,
     x: str,
     y: str,
-    ident: list[str],
     bounds: tuple[str, str, str, str],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inner join of points with boxes, ``condition`` refining the grid match.
 
@@ -75,9 +72,6 @@ def point_box_join(
     """
     left = key_points(points, x, y, levels_in_use(boxes, bounds))
     right = key_boxes(boxes, bounds)
-    left, right, keys = spread_hot_keys(left, right, GRID_KEYS, ident, hot_rows)
-    # Partition by cell even where the boxes are small enough to broadcast: what follows
-    # the match costs more than the scan, and the scan's own splits may be few.  A
-    # sort-merge join uses the same partitioning, so it adds no second shuffle.
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.repartition(parts, *keys).join(right, keys).where(condition).drop(*keys)
+    # Where the boxes are small enough to broadcast, the points have no exchange of their own, and
+    # the scan's splits may be few; adaptive execution evens them out.
+    return left.hint("rebalance").join(right, GRID_KEYS).where(condition).drop(*GRID_KEYS)

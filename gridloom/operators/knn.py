@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import cell
-from gridloom.operators.skew import HOT_ROWS, salted, spread_hot_keys
+from gridloom.operators.skew import keyed_join
 from gridloom.session import cut_lineage
 
 # Candidates one search window may hold before it is refined.
@@ -88,15 +88,14 @@ def knn_within(
     limit2 = radius * radius
     near = F.col("d2") <= limit2 if closed else F.col("d2") < limit2
 
-    densest, busiest = _fullest(candidates, "cx", "cy", side), _fullest(asked, "qx", "qy", side)
-    if densest > max_window:
+    if _fullest(candidates, "cx", "cy", side) > max_window:
         places = asked.select("qx", "qy").distinct()
         around = F.sequence(F.lit(-1), F.lit(1))
         start = places.withColumn("kx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
             "ky", F.explode(F.transform(around, lambda o: cell(F.col("qy"), side) + o))
         )
         found = _refined(start, candidates, k, side, max_window).where(near)
-        return _finish(salted(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"], ["src"]))
+        return _finish(keyed_join(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
 
     around = F.sequence(F.lit(-1), F.lit(1))
     looked = asked.withColumn("gx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
@@ -104,9 +103,7 @@ def knn_within(
     )
     placed = candidates.withColumn("gx", cell(F.col("cx"), side)).withColumn("gy", cell(F.col("cy"), side))
     keys = ["gx", "gy"]
-    if busiest > HOT_ROWS:
-        looked, placed, keys = spread_hot_keys(looked, placed, keys, ["src"])
-    pairs = looked.join(placed, keys).withColumn("d2", _distance2()).where(near)
+    pairs = keyed_join(looked, placed, keys).withColumn("d2", _distance2()).where(near)
     return _finish(_top_k(pairs, ["src"], k))
 
 
@@ -136,7 +133,7 @@ def knn(
     places = asked.select("qx", "qy").distinct()
     start = places.withColumn("kx", F.explode(roots)).withColumn("ky", F.explode(roots))
     found = _refined(start, candidates, k, side, max_window)
-    return _finish(salted(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"], ["src"]))
+    return _finish(keyed_join(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
 
 
 def _refined(start: DataFrame, candidates: DataFrame, k: int, side: float, max_window: int) -> DataFrame:

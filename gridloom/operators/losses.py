@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.vectors import cosine, distance, dot
 from gridloom.operators.numbering import position_in_group
 from gridloom.operators.sampling import uniform
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 
 
 def cluster_cdf(similarity: DataFrame, present: DataFrame, negative: bool = False) -> DataFrame:
@@ -134,7 +134,7 @@ def segmentation_loss(
     full = full.join(src.select(F.col("id").alias("src"), F.col("embedding").alias("_a")), "src")
     for end, name in (("dst", "_p"), ("neg", "_n")):
         side = dst.select(F.col("id").alias(end), F.col("embedding").alias(name))
-        full = salted(full, side, [end], ["src", "dst"])
+        full = keyed_join(full, side, [end])
     a, p, n = F.col("_a"), F.col("_p"), F.col("_n")
     if kind == "triplet":
         term = F.greatest(distance(a, p) - distance(a, n) + F.lit(margin), F.lit(0.0))

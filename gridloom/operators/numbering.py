@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from gridloom.session import cut_lineage
 
 
 def dense_index(df: DataFrame, order_by: list[str | Column], name: str) -> DataFrame:
     """Number the rows 0..n-1 in a total order, as a range-partitioned sort.
 
-    Used for dimension tables (one row per cell, gene or cluster), never for points.
+    The ranges are written with their number, counted (one row each), and numbered apart.
     """
-    ordered = df.orderBy(*order_by)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
-    numbered = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return df.sparkSession.createDataFrame(numbered, schema, verifySchema=False)
+    ranged = cut_lineage(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by)) - 1
+    return ranged.join(starts, "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")
 
 
 def encode(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions import geometry as G
 from gridloom.functions import planar
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 from gridloom.schemas import BOUNDARY_CODE, CELL_BOUNDARY, COSMX_MASK_CODES, COSMX_MPP, NUCLEUS_BOUNDARY, RING
 from gridloom.session import cut_lineage
 
@@ -223,7 +223,7 @@ def _hulls(spots: DataFrame, smoothing: int) -> DataFrame:
         if biggest <= HULL_PART:
             break
         parts = sizes.select("cell_id", F.ceil(F.col("_n") / F.lit(HULL_PART)).cast("int").alias("_parts"))
-        cut = salted(rest, parts, ["cell_id"], ["x", "y"]).withColumn("_part", F.pmod(F.xxhash64("x", "y"), "_parts"))
+        cut = keyed_join(rest, parts, ["cell_id"]).withColumn("_part", F.pmod(F.xxhash64("x", "y"), "_parts"))
         corners = for_python(cut, "cell_id", "_part").groupBy("cell_id", "_part")
         rest = cut_lineage(corners.applyInPandas(partial, "cell_id string, x double, y double"))
         left = rest.groupBy("cell_id").count().agg(F.max("count")).first()[0]

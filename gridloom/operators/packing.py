@@ -45,6 +45,8 @@ def best_fit_decreasing(sizes, capacity, skip_too_big=False) -> list[list[int]]:
 
 def harmonic_k(sizes, capacity, k=6, skip_too_big=False) -> list[list[int]]:
     """Online: class j holds sizes in (1/(j+1), 1/j] and closes a bin at j items; small ones first-fit."""
+    if k < 2:
+        raise ValueError(f"k must be at least 2, not {k}")
     bins: list[list[int]] = []
     open_bin: dict[int, list[int]] = {}
     small: list[list] = []  # [room left, bin]

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def uniform(*keys, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) that depends on the keys and the seed only: 52 bits of md5(key:...:seed)."""
+    digest = F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each group (the sampling operator), lowest hash first.
+    """At most ``n`` rows of each group (the sampling operator), lowest draw first.
 
     The row-number limit is applied before the shuffle as well as after it.
     """
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), F.col(ident))
+    order = Window.partitionBy(group).orderBy(uniform(ident, seed=seed), F.col(ident))
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 

@@ -1,77 +1,19 @@
-"""Keeping one hot key from becoming one slow task.
+"""Joins on keys that may be hot.
 
-Three means, by the size of the smaller side:
-
-* gene- or cluster-keyed tables are joined plainly: Spark broadcasts them when their
-  measured size allows, and otherwise adaptive execution splits a skewed partition;
-* cell-keyed tables go through ``salted``: every key is cut into a fixed number of
-  pieces before adaptive execution sees it;
-* grid-keyed spatial joins go through ``spread_hot_keys``, which counts the keys and
-  gives the hottest ones as many pieces as their size asks for.
+No side is copied and no key is counted beforehand.  Spark broadcasts a side whose measured size
+allows it; otherwise its own exchanges carry both sides, and adaptive execution splits a hot
+partition of one side and repeats only the matching part of the other (``session.SESSION_DEFAULTS``
+turns that on even below an aggregation on the same key).  A hand-made repartition before the join
+would take that away, so there is none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# Rows of the large side one task should meet under one key, and how many of the
-# hottest keys get their own split count.  The second number bounds the broadcast.
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 4096
-MAX_SPLITS = 4096
-# Pieces per key of a salted join.
-SALTS = 16
-
-
-def hot_keys(many: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """At most ``MAX_HOT_KEYS`` keys above ``hot_rows`` rows, each with a split count.
-
-    Only speed depends on this table: a hot key beyond the limit is still joined,
-    merely left to adaptive execution.
-    """
-    return (
-        many.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SPLITS)).cast("int").alias("_splits"))
-    )
-
-
-def spread_hot_keys(
-    many: DataFrame, few: DataFrame, keys: list[str], ident: list[str | Column], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Salt both sides of an inner equi-join so that no key exceeds ``hot_rows`` per task.
-
-    ``many`` spreads a hot key over its splits by a hash of ``ident``; ``few`` repeats
-    its rows once per split.  Returns both sides and the keys to join on.
-    """
-    hot = F.broadcast(hot_keys(many, keys, hot_rows))
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    left = (
-        many.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*ident), splits).cast("int"))
-        .drop("_splits")
-    )
-    right = (
-        few.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("_splits")
-    )
-    return left, right, [*keys, "_salt"]
-
+from pyspark.sql import DataFrame
 
-def salted(
-    many: DataFrame, few: DataFrame, keys: list[str], ident: list[str | Column], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Equi-join with every key of ``many`` cut into ``salts`` pieces; ``few`` is repeated per piece.
 
-    ``how`` is ``inner`` or ``left`` - a row of ``many`` sees each match once either way.
-    """
+def keyed_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join, ``inner`` or ``left``; the exchanges on both sides stay Spark's own."""
     if how not in ("inner", "left"):
-        raise ValueError(f"a salted join is inner or left, not {how!r}")
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+        raise ValueError(f"a keyed join is inner or left, not {how!r}")
+    return many.join(few, keys, how)

@@ -10,7 +10,7 @@ from gridloom.functions import geometry as G
 from gridloom.operators.matrix import centroids, count_matrix, totals
 from gridloom.operators.numbering import dense_index
 from gridloom.operators.outlines import cell_boundaries
-from gridloom.operators.skew import salted
+from gridloom.operators.skew import keyed_join
 from gridloom.sources import tables
 from gridloom.sources.vendors import open_source
 
@@ -41,7 +41,7 @@ def load_assigned(
     if min_transcripts <= 0:
         return joined
     big = joined.groupBy("assigned_cell_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_transcripts)
-    return salted(joined, big.select("assigned_cell_id"), ["assigned_cell_id"], ["row_index"])
+    return keyed_join(joined, big.select("assigned_cell_id"), ["assigned_cell_id"])
 
 
 def build_matrix(

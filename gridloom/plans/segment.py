@@ -237,12 +237,12 @@ def segment(spark: SparkSession, config: SegmentConfig, weights=None, embeddings
 def tile_predictions(tx: DataFrame, edges: DataFrame, embedded: dict[str, DataFrame]) -> DataFrame:
     """Best candidate per tile and core point; a point in two cores yields two rows."""
     from gridloom.functions.vectors import cosine
-    from gridloom.operators.skew import salted
+    from gridloom.operators.skew import keyed_join
 
     chosen = edges.where(F.col("edge_type") == "tx-neighbors-bd").select("tile_id", "src", "dst")
     a = embedded["tx"].select("tile_id", F.col("id").alias("src"), F.col("embedding").alias("_a"))
     b = embedded["bd"].select("tile_id", F.col("id").alias("dst"), F.col("embedding").alias("_b"))
-    scored = salted(chosen.join(a, ["tile_id", "src"]), b, ["tile_id", "dst"], ["src", "dst"]).withColumn(
+    scored = keyed_join(chosen.join(a, ["tile_id", "src"]), b, ["tile_id", "dst"]).withColumn(
         "similarity", cosine(F.col("_a"), F.col("_b"))
     )
     best = scored.groupBy("tile_id", "src").agg(F.max(F.struct("similarity", (-F.col("dst")).alias("m"))).alias("b"))

@@ -63,8 +63,7 @@ def ship_packages(spark: SparkSession, root: str, packages: tuple[str, ...]) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, read from ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder: on a cluster
-    such a folder would exist on one machine and be lost with it.
+    There is no fallback: a folder made here would exist on one machine and be lost with it.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -72,9 +71,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix=f"gridloom-{os.getpid()}-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured)
     return configured
 

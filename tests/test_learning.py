@@ -84,8 +84,9 @@ def test_thresholds(spark):
 
 
 def test_unconverged_iteration_is_backfilled(spark):
-    v = np.sort(np.random.default_rng(3).random(500))
-    assert A.li_threshold(v, np.ones(500), max_iter=1)[1] is False
+    v = np.sort(np.random.default_rng(3).random(500)) ** 3
+    many = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "gene_encoding long, row_index long, similarity double")
+    assert [r["converged"] for r in A.li_thresholds(many, max_iter=1).collect()] == [False]
     df = spark.createDataFrame([(0, 1.0, True), (1, 3.0, True), (2, None, False)], "g int, similarity_threshold double, converged boolean")
     assert rows(A.backfill_thresholds(df)) == [(0, 1.0, True), (1, 3.0, True), (2, 2.0, False)]
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -42,6 +43,7 @@ def main() -> int:
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="gridloom-checkpoints-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
