@@ -189,7 +189,7 @@ def test_banded_distance(edits):
     assert line_dedup.within(first, second, edits).tolist() == [distance(a, b) <= edits for a, b in zip(first, second)]
 
 
-@pytest.mark.parametrize("crowded", [64, 3])
+@pytest.mark.parametrize("crowded", [line_dedup.CROWDED, 40])
 def test_line_classes_match_brute_force(table, crowded):
     r = random.Random(5)
     lines = []
