@@ -31,8 +31,9 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 26, 5
 #: Length of the first rank interval; each later interval ends at twice its start.
 FIRST_RANKS = 1 / 64
-#: Rounds in which other members of a band lead, before its remaining pairs are compared.
-ROUNDS = 2
+#: Rounds in which other members of a band lead, before its remaining pairs are bounded and
+#: compared.  Only the cost depends on it.
+ROUNDS = 1
 #: 64-bit words of a bitmap of missing cells.
 GAP_WORDS = 4
 
