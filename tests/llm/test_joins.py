@@ -189,6 +189,10 @@ def test_banded_distance(edits):
     assert line_dedup.within(first, second, edits).tolist() == [distance(a, b) <= edits for a, b in zip(first, second)]
 
 
+def test_distance_to_a_line_of_which_nothing_is_left():
+    assert line_dedup.within(["abcd", "xaby"], ["abc", "xby"], 1).tolist() == [True, True]
+
+
 @pytest.mark.parametrize("crowded", [line_dedup.CROWDED, 40])
 def test_line_classes_match_brute_force(table, crowded):
     r = random.Random(5)
@@ -210,6 +214,48 @@ def test_line_classes_match_brute_force(table, crowded):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_crowds_with_two_variable_places(table, edits):
+    r = random.Random(8)
+    lines = set()
+    while len(lines) < 160:
+        digits, queue = "".join(r.choice("012") for _ in range(6)), r.choice(["A", "B", "C", "", "DE"])
+        lines.add(f"{digits} is the ticket that was moved to queue {queue} by the desk" + r.choice(["", "", " x", "!"]))
+        # Beginnings and ends that differ in length, so that a looked-up rest is longer than its edits.
+        lines.add(r.choice(["", "a", "bc", "def"]) + " one more common line with short ends " + "".join(r.choice("pqr") for _ in range(r.randint(0, 4))))
+    every = sorted({s.strip() for s in lines})
+    pairs = [(a, b) for i, a in enumerate(every) for b in every[:i]]
+    near = line_dedup.within([a for a, _ in pairs], [b for _, b in pairs], edits)
+    want = union(every, [p for p, good in zip(pairs, near) if good])
+    rows = [(i, s, "s") for i, s in enumerate(every)]
+    for crowded in (6,):
+        found, classes = {}, {}
+        for x in line_dedup.line_classes(table(rows), edits, crowded=crowded).collect():
+            found.setdefault(bytes(x["root"]), set()).add(every[x["doc_id"]])
+        for s, c in want.items():
+            classes.setdefault(c, set()).add(s)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, classes.values()))
+
+
+def test_two_edited_places_link_in_a_crowd(table):
+    """A changed digit and another queue letter: such a pair shares crowded entries only."""
+    r = random.Random(3)
+    lines = [f"{''.join(r.choice('0123456789') for _ in range(8))} is the ticket that was moved to queue {r.choice('ABCDEFGH')} by the support desk on call" for _ in range(150)]
+    first = "84736251 is the ticket that was moved to queue A by the support desk on call"
+    lines += [first, first.replace("847", "837").replace("queue A", "queue H")]
+    found = line_dedup.line_classes(table([(i, s, "s") for i, s in enumerate(lines)]), crowded=40).where("doc_id >= 150").collect()
+    assert len({bytes(x["root"]) for x in found}) == 1 and all(x["copies"] == 2 for x in found)
+
+
+def test_long_lines_of_an_entry(table, monkeypatch):
+    """Too many code points for one group: compared by letters, likely pairs by their texts; also more than 32,767 of a letter."""
+    monkeypatch.setattr(line_dedup, "CROWDED_CHARS", 1000)
+    base = speak(4, 60)
+    lines = [base, base + "x", base[:200] + "y" + base[200:], base + " and something else", "a" * 32767 + "b" * 20, "a" * 32768 + "b" * 20]
+    found = {x["doc_id"]: bytes(x["root"]) for x in line_dedup.line_classes(table([(i, s, "s") for i, s in enumerate(lines)])).collect()}
+    assert found[0] == found[1] == found[2] != found[3] and found[4] == found[5] and len(set(found.values())) == 3
+
+
 def test_lines_go_but_the_first(table, messy, nothing):
     same = "this very line is found in all of them"
     rows = [(3, f"own line of the third text here\n{same}!", "s"), (1, f"{same}\nshort\n\nshort", "s"), (2, f"  {same}.\nanother own line that is long", "s"), (4, same, "s"), (5, "short", "s")]
