@@ -77,14 +77,17 @@ def op2_toxicity(spark, sf_dir):
 @register("op3_line_dedup")
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    lists = line_dedup.drop_lists(line_dedup.line_classes(docs))
+    lists = line_dedup.drop_lists(line_dedup.line_classes(docs, exact_from=1))
     theirs = lists.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_own"))
     both = keyed.join(theirs, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
     none = F.lit(0).cast("long")
+    classes = F.transform("classes", lambda x: F.concat_ws(":", x["place"], x["class_id"], x["copies"], x["links"]))
     return both.select(
         "doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("n_repeated", none).alias("n_repeated"),
         F.coalesce(F.size("drop").cast("long"), none).alias("n_dropped"), F.coalesce(F.array_join("drop", ","), F.lit("")).alias("dropped"),
+        # place:class:copies:links of each repeated line
+        F.coalesce(F.array_join(classes, ","), F.lit("")).alias("classes"),
     )
 
 

@@ -267,3 +267,21 @@ def test_lines_go_but_the_first(table, messy, nothing):
     left = sorted((str(r["doc_id"]), (r["text"] or "")[:12]) for r in kept.collect())
     # Both equal rows of id 5 are one document and stay; the null id comes last; upper case differs.
     assert [i for i, _ in left] == sorted(["1", "2", "3", "4", "5", "5", "5", "None", "6", "7", "8", "9"])
+
+
+def test_short_lines_have_exact_classes_and_classes_have_links(table):
+    long = "this very line is found in all of them"
+    rows = [(1, f"{long}\nAll rights reserved\nMenu", "s"), (2, f"All rights reserved\n{long}!\nMenus", "s"), (3, f"{long}!?\n\n  All rights reserved", "s")]
+    classes = line_dedup.line_classes(table(rows), exact_from=1)
+    got = {(r["doc_id"], r["place"]): r for r in classes.collect()}
+    notice = [got[1, 1], got[2, 0], got[3, 2]]
+    assert {(r["copies"], r["links"], r["short"]) for r in notice} == {(3, 0, True)} and len({bytes(r["root"]) for r in notice}) == 1
+    near = [got[1, 0], got[2, 1], got[3, 0]]
+    assert {(r["copies"], r["links"], r["short"]) for r in near} == {(3, 2, False)} and len({bytes(r["root"]) for r in near}) == 1
+    assert got[1, 2]["copies"] == got[2, 2]["copies"] == 1 and len(got) == 8
+    lists = {r["doc_id"]: r for r in line_dedup.drop_lists(classes).collect()}
+    assert [(r["n_lines"], r["n_repeated"], r["drop"]) for _, r in sorted(lists.items())] == [(3, 2, []), (3, 2, [1]), (2, 2, [0])]
+    assert [(c["place"], c["copies"], c["links"]) for c in lists[2]["classes"]] == [(0, 3, 0), (1, 3, 2)]
+    assert lists[2]["classes"][1]["class_id"] == lists[3]["classes"][0]["class_id"]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(rows), drop_from=1).collect()}
+    assert left == {1: rows[0][1], 2: "Menus"}
