@@ -2,8 +2,9 @@
 
 Fixed patterns give the base findings.  Beyond them, every opaque token in a sensitive context is
 a candidate: it is compressed with a dictionary made of identifiers and of the text around it, and
-the bytes it adds are compared with its length.  Words, paths, repeated names and placeholders are
-in the dictionary and cost almost nothing; a key or password is new and does not compress.
+the bytes it adds are compared with its length.  Words, paths, names used elsewhere and placeholders are
+in the dictionary and cost almost nothing; a key or password is new and does not compress.  Copies of a
+candidate that stand in a sensitive context themselves are left out of its dictionary.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ SENSITIVE = re.compile(
     r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|\bkey\b|(?:api|access|private|licen[cs]e)[ _-]?key|client_?id|"
     r"credential|auth(?:orization)?|bearer|signature|session_?id|cookie|salt|aws)"
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}")
+MIN_CANDIDATE = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%%^&*-]{%d,}" % MIN_CANDIDATE)
+#: First and last lines of PEM blocks, and the lines of a block that has no end.
+PEM = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*-----")
+PEM_BODY = re.compile(r"[ \t\r]*\n(?:[ \t]*[A-Za-z0-9+/=]+[ \t\r]*(?:\n|\Z))*")
 
 #: Identifiers and placeholders that are no secrets: the fixed part of every dictionary.
 IDENTIFIERS = (
@@ -50,7 +55,8 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class Novelty:
     """Parameters: characters of text around a candidate, how far back a sensitive word may stand
-    (same line), and the least share of its bytes that a reported candidate adds."""
+    (candidates between them not counted; at the end of a line also before the next line that is
+    not blank, from its beginning), and the least share of its bytes that a reported candidate adds."""
 
     around: int = 400
     reach: int = 48
@@ -83,32 +89,89 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], rule: Novelty) -> list[tuple[int, int, int, float]]:
-    """Incompressible candidates in a sensitive context that no base span overlaps, with their novelty."""
-    out = []
+def _contexts(text: str, reach: int) -> Iterator[tuple[int, int, int]]:
+    """Sensitive places (start, stop, last): candidates begin from start to stop, which candidates put off as far as last."""
+    heads = []
+    for m in PEM.finditer(text):
+        heads.append(m.span())
+        if m[1] == "BEGIN" and "PRIVATE KEY" in m[0]:
+            end = text.find("-----END", m.end())
+            if end < 0:
+                body = PEM_BODY.match(text, m.end())
+                end = body.end() if body else m.end()
+            yield m.end(), end, end
+    k = 0
     for m in SENSITIVE.finditer(text):
-        line_end = text.find("\n", m.end())
-        stop = min(m.end() + rule.reach, len(text) if line_end < 0 else line_end)
-        c = CANDIDATE.search(text, m.end(), min(len(text), stop + 4096))
-        if c is None or c.start() >= stop:
+        while k < len(heads) and heads[k][1] <= m.start():
+            k += 1
+        if k < len(heads) and heads[k][0] <= m.start():
             continue
-        start, end = c.span()
-        # An assignment in the token: the secret is what follows the sign.
-        sign = max(c[0].find("="), c[0].find(":"))
-        if 0 < sign < len(c[0]) - 12 and not c[0][sign + 1 :].startswith("="):
-            start += sign + 1
-        token = text[start:end]
-        kinds = bool(re.search("[a-z]", token)) + bool(re.search("[A-Z]", token)) + bool(re.search("[0-9]", token))
-        # Words joined by signs, such as paths and slugs, are no keys.
-        longest = max(map(len, re.split(r"[-_/.]", token)))
-        if kinds < 2 or longest < 10 or any(a < end and start < b for a, _, b in taken) or any(a < end and start < b for a, _, b, _ in out):
+        line_end = text.find("\n", m.end())
+        line_end = len(text) if line_end < 0 else line_end
+        yield m.end(), min(m.end() + reach, line_end), line_end
+        if line_end - m.end() <= reach and (below := _FILLED.search(text, line_end)):
+            end = text.find("\n", below.start())
+            end = len(text) if end < 0 else end
+            yield below.start(), min(below.start() + reach, end), end
+
+
+def _candidates(text: str, taken: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
+    """All tokens in a sensitive context that may be keys and that no base span overlaps, by start."""
+    covered = bytearray(len(text))
+    for a, _, b in taken:
+        covered[a:b] = b"\1" * (b - a)
+    out = set()
+    for start, stop, last in _contexts(text, reach):
+        # A token begins before ``stop`` and is taken to its end, however long.
+        while c := CANDIDATE.search(text, start, min(len(text), stop + MIN_CANDIDATE - 1)):
+            a, b = CANDIDATE.match(text, c.start()).span()
+            start = b
+            # An assignment in the token: the secret is what follows the sign.
+            sign = text.find("=", a, b) - a
+            if 0 < sign < b - a - 12 and text[a + sign + 1] != "=":
+                a += sign + 1
+            token = text[a:b]
+            kinds = bool(re.search("[a-z]", token)) + bool(re.search("[A-Z]", token)) + bool(re.search("[0-9]", token))
+            # Words joined by signs, such as paths and slugs, are no keys.
+            longest = max(map(len, re.split(r"[-_/.]", token)))
+            if kinds < 2 or longest < 10 or covered.find(1, a, b) >= 0:
+                continue
+            out.add((a, b))
+            stop = min(stop + b - a, last)
+    return sorted(out)
+
+
+def _without(text: str, low: int, high: int, token: str, private: bytearray) -> str:
+    """``text[low:high]`` without those copies of ``token`` that touch ``private`` places."""
+    parts, at = [], low
+    while (p := text.find(token, at, high)) >= 0:
+        end = p + len(token)
+        parts.append(text[at:p] if private.find(1, p, end) >= 0 else text[at:end])
+        at = end
+    return "".join([*parts, text[at:high]])
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], rule: Novelty) -> list[tuple[int, int, int, float]]:
+    """Incompressible candidates in a sensitive context that no base span overlaps, with their novelty."""
+    found = _candidates(text, taken, rule.reach)
+    private = bytearray(len(text))
+    for a, b in [*found, *((a, b) for a, _, b in taken)]:
+        private[a:b] = b"\1" * (b - a)
+    out, end = [], 0
+    for a, b in found:
+        if a < end:
             continue
-        added = rule.added(token, text[max(0, start - rule.around) : start], text[end : end + rule.around])
+        token = text[a:b]
+        before = _without(text, max(0, a - rule.around), a, token, private)
+        added = rule.added(token, before, _without(text, b, min(len(text), b + rule.around), token, private))
         if added >= rule.least:
-            out.append((start, 3, end, added))
+            out.append((a, 3, b, added))
+            end = b
     return out
 
 
+_FILLED = re.compile(r"\S")
+
 _HEX_BYTES = np.zeros(256, np.uint8)
 _HEX_BYTES[list(b"0123456789abcdef")] = 1
 _HINTS = tuple(

@@ -96,6 +96,33 @@ def test_novelty_separates_keys_from_words():
     assert novel("nothing here q8Zx1Lm0Vw7Rt2Yp5Kd9") == []
 
 
+def test_every_candidate_in_reach_is_measured():
+    import base64
+    import random
+
+    rule = secrets.Novelty()
+
+    def novel(t):
+        return [t[a:b] for a, k, b, _ in secrets.scan_text(t, rule) if k == 3]
+
+    one, two = "Zk3v9Qw8Lm2Xp7Rt5Y", "q8Zx1Lm0Vw7Rt2Yp5Kd9Hs4Jf6Gb3Nc"
+    assert novel(f"the password configuration value is {one}") == [one]
+    assert novel(f"the two secrets are {two} {one}") == [two, one]
+    # Below its name, also after a blank line; not two lines below.
+    assert novel(f"Password\n{one}\nmore") == [one] and novel(f"client secret:\n\n  {one}") == [one]
+    assert novel(f"Password\nis not given here\n{one}") == []
+    # Twice in a sensitive context is no less a secret.
+    assert novel(f"password {one} and again the password {one}") == [one, one]
+    # A token of any length, to its end.
+    body = base64.b64encode(random.Random(1).randbytes(9000)).decode()
+    assert novel(f"secret {body}") == [body]
+    lines = [body[i : i + 64] for i in range(0, 640, 64)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines)
+    assert novel(pem + "\n-----END RSA PRIVATE KEY-----\n" + body[700:760]) == lines
+    assert novel(pem + "\n\nand text, then " + body[700:760]) == lines
+    assert novel(pem.replace("RSA PRIVATE", "PUBLIC")) == []
+
+
 # --- token counts ---------------------------------------------------------------
 
 
