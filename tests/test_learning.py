@@ -50,6 +50,38 @@ def test_louvain_finds_planted_groups(spark):
     assert C.modularity(df, found) > 0.6
 
 
+def test_louvain_goes_on_until_no_vertex_gains(spark):
+    rng = np.random.default_rng(4)
+    n = 1500
+    edges = [(i, i + 1, float(w)) for i, w in enumerate(rng.integers(1, 4, n - 1))]
+    graph = spark.createDataFrame(edges, "src long, dst long, weight double")
+    both = C.cut_lineage(C._undirected(graph))
+    two_m = 2 * sum(w for *_, w in edges)
+    at = {r["id"]: r["c"] for r in C._local_moves(both, two_m, 1.0, 1000, 0).collect()}
+    around, total = {i: {} for i in range(n)}, {}
+    strength = dict.fromkeys(range(n), 0.0)
+    for a, b, w in edges:
+        for u, v in ((a, b), (b, a)):
+            around[u][at[v]] = around[u].get(at[v], 0) + w
+            strength[u] += w
+    for i, c in at.items():
+        total[c] = total.get(c, 0) + strength[i]
+    for i, c in at.items():
+        k = strength[i]
+        stay = around[i].get(c, 0) - k * (total[c] - k) / two_m
+        assert all(into - k * total[d] / two_m <= stay + 1e-9 for d, into in around[i].items() if d != c)
+
+
+def test_louvain_fails_at_its_limits(spark):
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError):
+        C.louvain(graph, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        C.louvain(graph, max_levels=1)
+    singles = graph.selectExpr("src AS id").union(graph.selectExpr("dst")).distinct().selectExpr("id", "id AS community")
+    assert C._vertex_modularity(C._undirected(graph), 1.0) == pytest.approx(C.modularity(graph, singles))
+
+
 def test_relabel_boundary_size(spark):
     df = spark.createDataFrame([(i, "a") for i in range(5)] + [(9, "b"), (10, "b"), (11, "c")], "id long, community string")
     got = dict(rows(C.relabel_by_size(df, 2)))
