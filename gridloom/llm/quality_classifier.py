@@ -103,6 +103,18 @@ def encode(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, rows
 
 
+#: Places to which scores are rounded before they are compared or returned.
+PLACES = 12
+
+
+def rows_times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` summed column by column, so that a row's result does not depend on its neighbours."""
+    out = x[:, 0, None] * w[0] if w.ndim == 2 else x[:, 0] * w[0]
+    for j in range(1, len(w)):
+        out += x[:, j, None] * w[j] if w.ndim == 2 else x[:, j] * w[j]
+    return out
+
+
 @dataclass
 class Bags:
     """Gated attention over encoded passages; ``fit`` learns everything from bag labels."""
@@ -123,14 +135,14 @@ class Bags:
     def forward(self, x: np.ndarray, rows: np.ndarray):
         p = self.weights
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        h = np.tanh(z @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * s) @ p["w"]
+        h = np.tanh(rows_times(z, p["W"]) + p["b"])
+        t, s = np.tanh(rows_times(h, p["V"])), 1 / (1 + np.exp(-rows_times(h, p["U"])))
+        e = rows_times(t * s, p["w"])
         owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         e = np.exp(e - np.maximum.reduceat(e, rows[:-1])[owner])
         a = e / np.add.reduceat(e, rows[:-1])[owner]
         m = np.add.reduceat(a[:, None] * h, rows[:-1], axis=0)
-        score = 1 / (1 + np.exp(-np.clip(m @ p["c"] + p["d"], -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(rows_times(m, p["c"]) + p["d"], -30, 30)))
         return score, a, (z, h, t, s, m, owner)
 
     def gradient(self, x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -203,7 +215,8 @@ def score(docs: DataFrame, model: Bags | None) -> DataFrame:
 
     ``score`` is between 0 and 1, higher for label 1; ``top_passage`` (from 0) is the passage with
     the largest attention weight.  A null or empty text is one empty passage.  Without a model
-    (nothing was labelled) every score is 0.5.  Null ids and repeated rows: each row for itself.
+    (nothing was labelled) every score is 0.5.  Equal texts have equal scores, whatever batch they
+    stand in.  Null ids and repeated rows: each row for itself.
     Empty table: no rows.  Other columns are ignored.  One pass, no shuffle.
     """
     require(docs, "doc_id", "text")
@@ -217,6 +230,7 @@ def score(docs: DataFrame, model: Bags | None) -> DataFrame:
                 value, a = np.full(len(at) - 1, 0.5), np.repeat(1 / np.diff(at), np.diff(at))
             else:
                 value, a, _ = bags.forward(x, at)
+                value, a = value.round(PLACES), a.round(PLACES)
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
             top = np.lexsort((np.arange(len(a)), -a, owner))[at[:-1]]
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +256,7 @@ def keep_good(docs: DataFrame, model: Bags | None, threshold: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: Bags | None = pickle.loads(shared.value)
         for batch in passes(batches):
-            good = bags.forward(*encode(batch.column(at)))[0] >= threshold if bags else np.full(batch.num_rows, threshold <= 0.5)
+            good = bags.forward(*encode(batch.column(at)))[0].round(PLACES) >= threshold if bags else np.full(batch.num_rows, threshold <= 0.5)
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
