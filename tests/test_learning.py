@@ -128,7 +128,7 @@ def test_assignment_ties_and_missing(spark):
     assert rows(A.best_per_source(scored)) == [(1, 4, 0.5), (2, 7, 0.1)]
     nodes = spark.createDataFrame([(1, 0, True), (2, 0, True), (3, 1, True), (4, 1, False)], "row_index long, gene_encoding int, is_core boolean")
     got = rows(A.predict(nodes, scored, 0.3), "row_index", "cell_encoding", "similarity")
-    assert got == [(1, 4, 0.5), (2, -1, 0.0), (3, -1, 0.0)]
+    assert got == [(1, 4, 0.5), (2, -1, 0.1), (3, -1, 0.0)]
     cells = spark.createDataFrame([("x", 4), ("y", 7)], "cell_id string, cell_encoding int")
     out = A.assign(A.predict(nodes, scored), cells)
     found = {r["row_index"]: r["assigned_cell_id"] for r in out.collect()}
