@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import dart_minhash, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
+from gridloom.llm import conversation_repair, dart_minhash, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,54 @@ def op9_quality_classifier(spark, sf_dir):
 def op10_lm_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return suffix_tree.score(docs, suffix_tree.outside_fold(10, 0))
+
+
+# --- 12: conversation repair ----------------------------------------------------
+
+# A step takes one more turn of every conversation: Delete, Keep or Rerole, then up to two Inserts.
+# States: 0 nothing yet, 1 after the system turn, 2 after a user turn, 3 after an assistant turn.
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+fated AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(k, ''), lambda c: [CAST(unicode(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)),
+    CAST(4294967295 AS BIGINT)) % 20 AS fate FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 0 THEN CAST([] AS INTEGER[]) WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, md5(text) ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+turns AS (SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) AS n
+    FROM turns GROUP BY conv_id),
+crossed AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, i, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS p FROM turns)
+    WHERE i > 1 AND p NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+known AS (SELECT DISTINCT conv_id FROM conversations),
+inserts(a, b, n, audit, text) AS (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+    (0, 2, 1, 'I', ['user:']), (1, 2, 1, 'I', ['user:']), (3, 2, 1, 'I', ['user:']), (2, 3, 1, 'I', ['assistant:']),
+    (0, 3, 2, 'II', ['user:', 'assistant:']), (1, 3, 2, 'II', ['user:', 'assistant:'])),
+ways AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, b AS state, {'cost': CAST(3 * n AS BIGINT), 'audit': audit, 'text': text} AS way FROM known, inserts WHERE a = 0
+    UNION ALL
+    SELECT conv_id, i, b, min({'cost': m.cost + 3 * n, 'audit': m.audit || x.audit, 'text': list_concat(m.text, x.text)}) FROM (
+        SELECT w.conv_id, t.i, unnest([{'s': w.state, 'cost': w.way.cost + 4, 'audit': w.way.audit || 'D', 'text': w.way.text}]
+            || CASE WHEN t.fault IN (1, 2) THEN [] ELSE
+                CASE WHEN (t.r = 's' AND w.state = 0) OR (t.r = 'u' AND w.state <> 2) OR (t.r = 'a' AND w.state = 2) THEN
+                    [{'s': CASE t.r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': w.way.cost + CASE WHEN t.fault = 3 THEN 3 ELSE 0 END,
+                    'audit': w.way.audit || 'K', 'text': list_append(w.way.text, t.role || ':' || t.text)}] ELSE [] END
+                || [{'s': CASE WHEN w.state = 2 THEN 3 ELSE 2 END, 'cost': w.way.cost + CASE WHEN t.fault = 3 THEN 6 ELSE 3 END,
+                    'audit': w.way.audit || 'R', 'text': list_append(w.way.text, CASE WHEN w.state = 2 THEN 'assistant' ELSE 'user' END || ':' || t.text)}] END) AS m
+        FROM ways w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1) JOIN inserts x ON m.s = x.a
+    GROUP BY conv_id, i, b),
+ended AS (SELECT w.conv_id, min(w.way) AS way FROM ways w LEFT JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+    WHERE w.i = coalesce(c.n, 0) AND w.state IN (0, 3) GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, e.way.cost AS cost, e.way.audit AS audit, sha256(array_to_string(e.way.text, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN crossed x ON e.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+@register("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
