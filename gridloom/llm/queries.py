@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import conversation_repair, dart_minhash, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
+from gridloom.llm import conversation_repair, dart_minhash, decontaminate, html_extract, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -294,3 +294,12 @@ FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEF
 @register("op12_conversation_repair", REPAIR_SQL)
 def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+# --- 13: html extraction --------------------------------------------------------
+
+
+@register("op13_html_extract")
+def op13_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.learn(pages))
