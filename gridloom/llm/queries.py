@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import conversation_repair, dart_minhash, decontaminate, html_extract, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
+from gridloom.llm import collocations, conversation_repair, dart_minhash, decontaminate, html_extract, line_dedup, mixing, quality_classifier, quality_rules, secrets, suffix_tree, token_counts, toxicity
 from gridloom.llm.text import is_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,6 +245,34 @@ def op10_lm_scores(spark, sf_dir):
     return suffix_tree.score(docs, suffix_tree.outside_fold(10, 0))
 
 
+# --- 11: collocations -----------------------------------------------------------
+
+PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+f AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS a
+    FROM (SELECT lang, m, w, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m)
+    GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+split AS (SELECT lang, m, phrase, a, k, string_split(phrase, ' ') AS w FROM f, (VALUES (1), (2), (3)) v(k) WHERE m > k),
+cut AS (SELECT s.lang, s.m, s.phrase, s.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * s.a) // (x.a::HUGEINT + y.a) AS score
+    FROM split s JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(w[1 : k], ' ')
+    JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(w[k + 1 : s.m], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(a) AS more FROM (
+    SELECT lang, m, a, string_split(phrase, ' ') AS w, j, unnest(generate_series(1, m - j + 1)) AS i FROM f, (VALUES (2), (3)) v(j) WHERE m > j) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON b.lang = i.lang AND b.phrase = i.phrase WHERE more IS NULL OR 100 * more < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@register("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 # --- 12: conversation repair ----------------------------------------------------
 
 # A step takes one more turn of every conversation: Delete, Keep or Rerole, then up to two Inserts.
