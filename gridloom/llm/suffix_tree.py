@@ -11,7 +11,6 @@ The word counts of the base score are exact counts over the corpus, by 64-bit fi
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +33,10 @@ MIN_DIVERGENCE = 0.002
 #: Words of at least this share of all tokens are looked up in place; there are at most
 #: 1 / COMMON_SHARE of them.  The others are joined, and none of those is frequent.
 COMMON_SHARE = 1e-6
-#: Distinct keys that a task holds before it passes its counts on.
-HELD_KEYS = 1_500_000
+#: Distinct keys of both kinds that a task holds before it passes its counts on, and bytes of text of
+#: one pass: together they bound a worker's memory.
+HELD_KEYS = 400_000
+PASS_BYTES = 1 << 20
 
 END = 0x0A
 #: The token that closes each text.
@@ -64,13 +65,16 @@ def stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(text: np.ndarray, rows: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Each byte with the ``depth`` bytes before it, the byte itself lowest; a row starts after an end."""
-    place = np.arange(len(text)) - np.repeat(rows[:-1], np.diff(rows))
-    code = text.astype(np.int64)
-    for d in range(1, depth + 1):
-        before = np.full(len(text), END, np.int64)
-        before[d:] = text[: len(text) - d] if d <= len(text) else 0
-        code |= np.where(place >= d, before, END) << (8 * d)
-    return code
+    # ``depth`` ends stand before each row, so that one shift serves all rows.
+    at = np.arange(len(text)) + np.repeat(depth * np.arange(1, len(rows)), np.diff(rows))
+    padded = np.full(len(text) + depth * (len(rows) - 1), END, np.uint8)
+    padded[at] = text
+    code = np.zeros(len(padded), np.int64)
+    inner = code[depth:]
+    for d in range(depth, -1, -1):
+        inner <<= 8
+        inner |= padded[depth - d : len(padded) - d]
+    return code[at]
 
 
 def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +101,7 @@ class _Held:
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(tally(keys))
         self.size += len(self.parts[-1][0])
-        if self.size > HELD_KEYS:
+        if self.size > HELD_KEYS // 2:
             self.parts = [tally(*map(np.concatenate, zip(*self.parts)))]
             self.size = len(self.parts[0][0])
 
@@ -125,13 +129,13 @@ def count(docs: DataFrame) -> DataFrame:
                 [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"]
             )
 
-        for batch in passes(batches, "text"):
+        for batch in passes(batches, "text", PASS_BYTES):
             w, hashes = _read(batch.column(0))
             held[0].add(np.concatenate([hashes, np.full(batch.num_rows, END_TOKEN)]))
             held[1].add(grams(*stream(w)))
-            for kind in (0, 1):
-                if held[kind].size > HELD_KEYS:
-                    yield out(kind)
+            if held[0].size + held[1].size > HELD_KEYS:
+                yield out(0)
+                yield out(1)
         yield out(0)
         yield out(1)
 
@@ -241,12 +245,12 @@ def score(docs: DataFrame, train: Column, common_share: float = COMMON_SHARE) ->
     common = counted.where((F.col("kind") == 0) & (F.col("n") >= least)).select("key", "n").toArrow()
     order = np.argsort(np.asarray(common.column("key")))
     known = tuple(np.asarray(common.column(c))[order] for c in ("key", "n"))
-    model = spark.sparkContext.broadcast(pickle.dumps((known, grow(counted))))
+    model = spark.sparkContext.broadcast((known, grow(counted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, n), tree = pickle.loads(model.value)
+        (keys, n), tree = model.value
         logs = np.log10((n + 0.1) / norm)
-        for batch in passes(batches):
+        for batch in passes(batches, "text", PASS_BYTES):
             w, hashes = _read(batch.column(batch.schema.get_field_index("text")))
             rows = batch.num_rows
             # The base score: common words here, the others by join.
