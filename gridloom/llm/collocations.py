@@ -32,17 +32,19 @@ SCALE = 2_000_000
 #: Numbers along a tile's side; pairs of a batch that make a tile dense; dense tiles and sparse pairs that a task holds.
 SIDE = 256
 DENSE_PAIRS = SIDE * SIDE // 16
-HELD_TILES = 96
-HELD_PAIRS = 1_000_000
+HELD_TILES = 64
+HELD_PAIRS = 500_000
 #: Pairs that are counted in one go.
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 #: Rows of a lookup table that is broadcast (16 bytes each).
 LOOKUP_ROWS = 4_000_000
 #: Numbers of one stored sequence, from which on it ends at the next gap.
 CHUNK = 1 << 12
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 GAP = -1
+#: Numbers of a level: 90 thousand million words could hold so many frequent ones at most.
+MOST_IDS = 3_000_000_000
 PIECE_ENDS = separator_table([*b".,;:!?", *range(0x0A, 0x0E)])
 WORD_ENDS = PIECE_ENDS | separator_table(b" \t")
 
@@ -241,6 +243,8 @@ class Tiles:
 
     def __init__(self, ids: int):
         self.across = ids // SIDE + 1
+        if self.across * SIDE >= MOST_IDS:
+            raise ValueError(f"{ids} numbers at one level; their square must fit 63 bits")
         self.dense: dict[int, np.ndarray] = {}
         self.sparse: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -257,22 +261,26 @@ class Tiles:
                 self.dense[int(names[x])] = cells if have is None else have + cells
             rest = ~full[owner]
             tile, local = tile[rest], local[rest]
-        self.sparse.append(self._tally(tile, local, np.ones(len(tile), np.int64)))
+        self.sparse.append(self._tally(tile * (SIDE * SIDE) + local))
         self.held += len(self.sparse[-1][1])
         if self.held > HELD_PAIRS:
             self._merge()
 
     @staticmethod
-    def _tally(tile: np.ndarray, local: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coordinates in order as (tile, local) rows, and their counts."""
-        order = np.lexsort((local, tile))
-        at = np.stack([tile[order], local[order]], 1)
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1)])) if len(at) else np.zeros(0, np.int64)
-        return at[first], np.add.reduceat(n[order], first) if len(at) else n
+    def _tally(at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates (tile and place in it) in order, and their counts."""
+        if n is None:
+            at = np.sort(at)
+        else:
+            order = np.argsort(at, kind="stable")
+            at, n = at[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        if n is None:
+            return at[first], np.diff(np.concatenate([first, [len(at)]]))
+        return at[first], np.add.reduceat(n, first) if len(at) else n
 
     def _merge(self) -> None:
-        at, n = (np.concatenate(x) for x in zip(*self.sparse))
-        self.sparse = [self._tally(at[:, 0], at[:, 1], n)]
+        self.sparse = [self._tally(*(np.concatenate(x) for x in zip(*self.sparse)))]
         self.held = len(self.sparse[0][1])
 
     @property
@@ -290,8 +298,8 @@ class Tiles:
             locals_.append(at)
             counts.append(cells[at])
         for at, n in self.sparse:
-            tiles.append(at[:, 0])
-            locals_.append(at[:, 1])
+            tiles.append(at // (SIDE * SIDE))
+            locals_.append(at % (SIDE * SIDE))
             counts.append(n)
         none = [np.zeros(0, np.int64)]
         tile, local, n = (np.concatenate(x or none) for x in (tiles, locals_, counts))
