@@ -45,6 +45,7 @@ def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gridloom")
     commands = parser.add_subparsers(dest="command", required=True)
     _add_fields(commands.add_parser("segment", help="assign points to cells"), SegmentConfig)
+    _add_fields(commands.add_parser("train", help="fit the encoder and write its weights"), SegmentConfig)
     export = commands.add_parser("export", help="write matrix, points and outlines of a segmentation")
     _add_fields(export, ExportConfig)
     export.add_argument("--platform", default=None)
@@ -66,6 +67,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     if args.command == "segment":
         segment_plan.segment(spark, _config(SegmentConfig, args))
+    elif args.command == "train":
+        segment_plan.train_only(spark, _config(SegmentConfig, args))
     elif args.command == "export":
         export_plan.export(spark, _config(ExportConfig, args), args.platform)
     elif args.command == "segment-only":

@@ -53,6 +53,8 @@ class SegmentConfig:
     normalize_embeddings: bool = True
     save_matrix: bool = True
     debug: bool = False
+    scores: str = "train"
+    weights: str | None = None
 
     def __post_init__(self) -> None:
         positive = (
@@ -75,6 +77,7 @@ class SegmentConfig:
             "gene_missing_strategy": ("error", "remove", "fill"),
             "cells_representation_mode": ("pca", "morphology"),
             "sg_loss_type": ("triplet", "bce"),
+            "scores": ("train", "weights", "profiles"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:

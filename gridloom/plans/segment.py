@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from gridloom.operators import encoder as enc
 from gridloom.operators.assignment import assign, predict, score_edges
 from gridloom.operators.clustering import cluster_similarity, cluster_vectors
 from gridloom.operators.embedding import cell_embedding, gene_embedding
-from gridloom.operators.graph import induced_edges, reference_edges, training_points, typed_edges
+from gridloom.operators.graph import induced_edges, partition_edges, reference_edges, training_points, typed_edges
 from gridloom.operators.knn import knn, knn_within
 from gridloom.operators.matrix import (
     cell_totals,
@@ -34,7 +35,8 @@ from gridloom.operators.outlines import morphology_embedding
 from gridloom.operators.sampling import split_tiles
 from gridloom.operators.spatial_join import prediction_candidates
 from gridloom.operators.standardize import reference_mask
-from gridloom.operators.tiling import quadtree_leaves, quadtree_shape, square_tiles, tile_predict_nodes
+from gridloom.operators.tiling import quadtree_leaves, quadtree_shape, square_tiles, tile_fit_nodes, tile_predict_nodes
+from gridloom.operators.training import TrainingConfig, read_weights, similarity_matrix, tile_rows, train, write_weights
 from gridloom.session import cut_lineage
 from gridloom.sources import tables
 from gridloom.sources.vendors import open_source
@@ -202,12 +204,19 @@ def predict_assignments(points: DataFrame, candidates: DataFrame, tx: DataFrame,
     return assign(cut_lineage(predict(points.select("row_index", "gene_encoding"), scored)), cells)
 
 
-def segment(spark: SparkSession, config: SegmentConfig, weights=None, embeddings: tuple[DataFrame, DataFrame] | None = None) -> str:
-    """Run all stages; returns the path of the segmentation table.
+@dataclass
+class Stages:
+    """Written tables that both training and prediction start from."""
 
-    ``weights`` are encoder parameters trained elsewhere, ``embeddings`` ready node
-    embeddings ``(points, cells)``.  With neither, gene profiles stand in for the encoder.
-    """
+    points: DataFrame
+    polygons: DataFrame
+    profiles: Profiles
+    edges: DataFrame
+    tiles: DataFrame
+
+
+def prepare_stages(spark: SparkSession, config: SegmentConfig) -> Stages:
+    """Source -> profiles -> coded points -> edges -> split tiles."""
     source = open_source(spark, config.input_directory, config.platform)
     raw, polygons = cut_lineage(source.points), cut_lineage(source.polygons)
     profiles = build_profiles(raw, config, polygons)
@@ -215,13 +224,104 @@ def segment(spark: SparkSession, config: SegmentConfig, weights=None, embeddings
     edges = cut_lineage(build_edges(points, polygons, profiles.cells, config))
     tiles = cut_lineage(split_tiles(build_tiles(points, config), config.training_fraction))
     log.info("graph and tiles are written")
+    return Stages(points, polygons, profiles, edges, tiles)
+
+
+def training_tiles(stages: Stages, config: SegmentConfig) -> DataFrame:
+    """One row per tile with its nodes, the edges inside it, and ``is_train``.
+
+    A node lies in one tile; it is an anchor where it is inside the tile shrunk by the training margin.
+    """
+    boxes = stages.tiles.select("tile_id", "x_min", "y_min", "x_max", "y_max")
+    margin = config.tiling_margin_training
+    columns = ["tile_id", "id", "x", "y"]
+    tx = tile_fit_nodes(stages.points, boxes, margin).select(
+        "tile_id", F.col("row_index").alias("id"), "x", "y", "gene_encoding", F.col("gene_cluster").alias("cluster"), F.col("in_core").alias("mask")
+    )
+    kind = config.segmentation_graph_mode
+    shapes = stages.polygons.where(F.col("boundary_type") == kind).select("cell_id", G.centroid(F.col("ring")).alias("c"))
+    placed = stages.profiles.cells.join(shapes, "cell_id").select(
+        F.col("cell_encoding").cast("long").alias("id"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("embedding").alias("features"), "cluster"
+    )
+    bd = tile_fit_nodes(placed, boxes, margin, ident="id").select(*columns, "features", "cluster", F.col("in_core").alias("mask"))
+    tx, bd = cut_lineage(tx.where("tile_id >= 0")), cut_lineage(bd.where("tile_id >= 0"))
+    per_type = []
+    for name, b in (("tx-tx", tx), ("tx-belongs-bd", bd)):
+        chosen = stages.edges.where(F.col("edge_type") == name)
+        inside = partition_edges(chosen, tx.select("id", "tile_id"), b.select("id", "tile_id"))
+        per_type.append(inside.withColumn("edge_type", F.lit(name)))
+    rows = tile_rows(tx, bd, per_type[0].unionByName(per_type[1]))
+    return cut_lineage(rows.join(stages.tiles.select("tile_id", "is_train"), "tile_id"))
+
+
+def train_weights(stages: Stages, config: SegmentConfig) -> tuple[enc.EncoderWeights, DataFrame]:
+    """Fit the encoder to the training tiles; weights and metrics."""
+    profiles = stages.profiles
+    genes = profiles.genes.select("gene_encoding", "embedding").orderBy("gene_encoding").toArrow()
+    table = np.array(genes.column("embedding").to_pylist(), float)
+    weights = enc.initial_weights(
+        len(table),
+        profiles.cells.select(F.size("embedding")).first()[0],
+        in_channels=config.in_channels,
+        hidden_channels=config.hidden_channels,
+        out_channels=config.out_channels,
+        n_mid_layers=config.n_mid_layers,
+        n_heads=config.n_heads,
+        use_positions=config.use_positional_embeddings,
+        normalize=config.normalize_embeddings,
+        gene_embedding=table,
+    )
+    how = TrainingConfig(
+        n_epochs=config.n_epochs,
+        edges_per_batch=config.edges_per_batch,
+        sg_loss_type=config.sg_loss_type,
+        tx_margin=config.tx_margin,
+        sg_margin=config.sg_margin,
+        weights_start=tuple(w[0] for w in (config.tx_weight, config.bd_weight, config.sg_weight)),
+        weights_end=tuple(w[1] for w in (config.tx_weight, config.bd_weight, config.sg_weight)),
+    )
+    sims = {"tx": similarity_matrix(profiles.gene_similarity), "bd": similarity_matrix(profiles.cell_similarity)}
+    return train(training_tiles(stages, config), weights, sims, how)
+
+
+def train_only(spark: SparkSession, config: SegmentConfig) -> str:
+    """Train, and write ``weights.parquet`` and the metrics; returns the path of the weights."""
+    weights, metrics = train_weights(prepare_stages(spark, config), config)
+    path = f"{config.output_directory}/weights.parquet"
+    write_weights(spark, weights, path)
+    tables.write_metrics(metrics, config.output_directory)
+    return path
+
+
+def segment(spark: SparkSession, config: SegmentConfig, weights=None, embeddings: tuple[DataFrame, DataFrame] | None = None) -> str:
+    """Run all stages; returns the path of the segmentation table.
+
+    ``weights`` are encoder parameters or the path of their table; ``config.weights`` names such a table
+    too.  ``config.scores`` says what scores the candidates: ``train`` fits the encoder first and writes its
+    weights and metrics, ``weights`` reads them, ``profiles`` takes gene profiles in place of the encoder.
+    ``embeddings`` are ready node embeddings ``(points, cells)``.
+    """
+    weights = weights if weights is not None else config.weights
+    if isinstance(weights, str):
+        weights = read_weights(spark, weights)
+    if weights is None and embeddings is None and config.scores == "weights":
+        raise ValueError("scores = 'weights' needs a table of weights")
+    stages = prepare_stages(spark, config)
+    points, profiles, edges, tiles = stages.points, stages.profiles, stages.edges, stages.tiles
     candidates = edges.where(F.col("edge_type") == "tx-neighbors-bd").select("src", "dst")
+    if weights is None and embeddings is None and config.scores == "train":
+        weights, metrics = train_weights(stages, config)
+        write_weights(spark, weights, f"{config.output_directory}/weights.parquet")
+        tables.write_metrics(metrics, config.output_directory)
 
     if weights is not None:
-        tx, bd, per_tile = encoder_inputs(points, profiles.cells, polygons, edges, tiles, config)
-        out = embed_nodes(tx, bd, cut_lineage(per_tile), profiles.genes, config, weights)
-        predictions = tile_predictions(tx, per_tile, out)
-        assigned = assign(cut_lineage(predictions), profiles.cells)
+        tx, bd, per_tile = encoder_inputs(points, profiles.cells, stages.polygons, edges, tiles, config)
+        per_tile = cut_lineage(per_tile)
+        out = embed_nodes(tx, bd, per_tile, profiles.genes, config, weights)
+        predictions = cut_lineage(tile_predictions(tx, per_tile, out))
+        if config.debug:
+            predictions.write.mode("overwrite").parquet(f"{config.output_directory}/debug/predictions.parquet")
+        assigned = assign(predictions, profiles.cells)
     else:
         tx_vectors, bd_vectors = embeddings or profile_embeddings(points, profiles)
         assigned = predict_assignments(points, candidates, tx_vectors, bd_vectors, profiles.cells)

@@ -1,5 +1,7 @@
 import json
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,9 +208,19 @@ def test_segment_and_export(spark, tmp_path):
         genes_min_counts=5,
         genes_clusters_n_neighbors=2,
         tiling_nodes_per_tile=100,
+        hidden_channels=4,
+        out_channels=6,
+        n_mid_layers=0,
+        n_epochs=2,
         debug=True,
     )
     path = segment(spark, config)
+    # Trained weights are a table; reading it gives the same scores.
+    assert spark.read.option("header", True).csv(f"{out}/metrics").where("split = 'train'").count() == 2
+    with_table = replace(config, scores="weights", weights=f"{out}/weights.parquet", output_directory=f"{out}/again", debug=False, save_matrix=False)
+    assert rows(spark.read.parquet(segment(spark, with_table)), "row_index", "assigned_cell_id") == rows(spark.read.parquet(path), "row_index", "assigned_cell_id")
+    with pytest.raises(ValueError):
+        segment(spark, replace(with_table, weights=None))
     seg = spark.read.parquet(path)
     assert seg.columns == ["row_index", "similarity", "assigned_cell_id", "similarity_threshold", "converged"]
     assert seg.select("row_index").distinct().count() == seg.count()
@@ -238,7 +250,7 @@ def test_encoder_path_of_the_plan(spark, tmp_path):
 
     root = xenium(spark, tmp_path / "enc", grid=2, per_cell=30)
     config = SegmentConfig(
-        input_directory=str(root), output_directory=str(tmp_path / "enc_out"), cells_embedding_size=3,
+        input_directory=str(root), output_directory=str(tmp_path / "enc_out"), scores="weights", cells_embedding_size=3,
         cells_clusters_n_neighbors=2, cells_clusters_min_size=0, cells_min_counts=1, genes_min_counts=1,
         genes_clusters_n_neighbors=2, tiling_mode="square", tiling_side_length=6.0, tiling_margin_prediction=2.0, save_matrix=False,
     )
