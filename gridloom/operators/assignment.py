@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import cosine
 from gridloom.operators.skew import keyed_join
+from gridloom.operators.thresholds import backfill_thresholds, gene_thresholds, li_thresholds, yen_thresholds  # noqa: F401
 from gridloom.session import cut_lineage
 
-# Histogram bins and Li iterations.
-YEN_BINS = 256
-LI_MAX_ITERATIONS = 250
-# Slots of a gene's range in the search for the smallest gap.
-GAP_SLOTS = 4096
-
 
 def score_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Add ``similarity``, the cosine of the two ends.  Ends are ``(id, embedding)``.
@@ -78,125 +73,6 @@ def decode_cells(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     return decoded.unionByName(none).drop("cell_encoding")
 
 
-def yen_thresholds(
-    scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity", bins: int = YEN_BINS
-) -> DataFrame:
-    """Yen, Chang & Chang (1995) per gene: ``(gene, yen)``.
-
-    Equal-width bins over each gene's range; the threshold is the centre of the first
-    bin with the largest criterion.  Only bin counts (at most ``bins`` per gene) are
-    ordered; a gene with a single value is its own threshold.
-    """
-    ranges = scores.groupBy(gene).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    position = F.floor((F.col(value) - F.col("_lo")) / width * F.lit(bins)).cast("int")
-    binned = scores.join(ranges, gene).withColumn("_bin", F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)))
-    counts = binned.groupBy(gene, "_lo", "_hi", "_bin").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    ordered = Window.partitionBy(gene).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(gene)
-    c = F.col("_c")
-    steps = counts.select(
-        gene,
-        "_lo",
-        "_hi",
-        "_bin",
-        F.sum(c).over(ordered).alias("_below"),
-        F.sum(c * c).over(ordered).alias("_sq"),
-        F.sum(c).over(whole).alias("_all"),
-        F.sum(c * c).over(whole).alias("_sq_all"),
-    )
-    split = F.col("_below") * (F.col("_all") - F.col("_below"))
-    criterion = F.log(split * split / F.nullif(F.col("_sq") * (F.col("_sq_all") - F.col("_sq")), F.lit(0.0)))
-    scored = steps.withColumn("_crit", F.round(F.when(F.col("_below") < F.col("_all"), criterion), 9))
-    best = scored.groupBy(gene, "_lo", "_hi").agg(F.max(F.struct("_crit", (-F.col("_bin")).alias("m"))).alias("_b"))
-    centre = F.col("_lo") + (F.lit(0.5) - F.col("_b.m")) * (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    return best.select(gene, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(centre).alias("yen"))
-
-
-def smallest_gap(values: DataFrame, gene: str, value: str, slots: int = GAP_SLOTS) -> DataFrame:
-    """``(gene, _gap)``: the least distance between two distinct values of a gene, null for one value.
-
-    ``values`` is distinct.  A gene's range is cut into slots; neighbours are looked for inside
-    each slot, and between a slot's largest value and the next one's smallest, so that no task
-    orders all values of a busy gene.
-    """
-    ends = values.groupBy(gene).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * slots)
-    slotted = keyed_join(values.select(gene, value), ends, [gene]).withColumn("_slot", F.coalesce(at, F.lit(0)))
-    before = F.lag(value).over(Window.partitionBy(gene, "_slot").orderBy(value))
-    inside = slotted.withColumn("_step", F.col(value) - before).groupBy(gene, "_slot").agg(
-        F.min("_step").alias("_step"), F.min(value).alias("_first"), F.max(value).alias("_last")
-    )
-    jump = F.col("_first") - F.lag("_last").over(Window.partitionBy(gene).orderBy("_slot"))
-    return inside.withColumn("_jump", jump).groupBy(gene).agg(F.least(F.min("_step"), F.min("_jump")).alias("_gap"))
-
-
-def li_thresholds(
-    scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity", max_iter: int = LI_MAX_ITERATIONS
-) -> DataFrame:
-    """Li & Tam (1998) minimum cross-entropy per gene: ``(gene, li, converged)``.
-
-    From the mean on, the next threshold comes from the means of the values at or below the
-    current one and of those above, until it moves by no more than half the smallest gap between
-    values.  Equal values are merged first; then all genes take each step together: one
-    aggregation with sums below the thresholds, which are one row per gene.
-    """
-    merged = cut_lineage(
-        scores.where(F.col(value).isNotNull()).groupBy(gene, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    )
-    low = merged.groupBy(gene).agg(F.min("_v").alias("_low"))
-    shifted = cut_lineage(keyed_join(merged, low, [gene]).withColumn("_v", F.col("_v") - F.col("_low")))
-    sums = shifted.groupBy(gene).agg(
-        F.first("_low").alias("_low"), F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("_k")
-    )
-    gaps = smallest_gap(shifted, gene, "_v")
-    start = keyed_join(sums, gaps, [gene]).select(
-        gene, "_low", "_n", "_s", (F.col("_gap") / 2).alias("_tol"), (F.col("_s") / F.col("_n")).alias("_t"),
-        (F.col("_k") == 1).alias("_done"), F.lit(True).alias("converged"),
-    )
-    state = cut_lineage(start)
-    step = 1
-    while not state.where(~F.col("_done")).isEmpty():
-        open_ = state.where(~F.col("_done"))
-        mine = F.col("_v") <= F.col("_t")
-        below = (
-            keyed_join(shifted.select(gene, "_v", "_w"), open_.select(gene, "_t"), [gene])
-            .groupBy(gene)
-            .agg(F.sum(F.when(mine, F.col("_w")).otherwise(0.0)).alias("_nb"), F.sum(F.when(mine, F.col("_w") * F.col("_v")).otherwise(0.0)).alias("_sb"))
-        )
-        step += 1
-        back = F.col("_sb") / F.col("_nb")
-        fore = (F.col("_s") - F.col("_sb")) / F.greatest(F.col("_n") - F.col("_nb"), F.lit(1.0))
-        stuck = (F.col("_b") == 0) | (F.col("_f") == 0)
-        moved = keyed_join(open_, below, [gene]).withColumns({"_b": back, "_f": fore})
-        following = F.when(stuck, F.col("_t")).otherwise((F.col("_b") - F.col("_f")) / (F.ln("_b") - F.ln("_f")))
-        moved = moved.withColumn("_next", following).select(
-            gene, "_low", "_n", "_s", "_tol", F.col("_next").alias("_t"),
-            (stuck | (F.abs(F.col("_next") - F.col("_t")) <= F.col("_tol")) | F.lit(step > max_iter)).alias("_done"),
-            (stuck | F.lit(step <= max_iter)).alias("converged"),
-        )
-        state = cut_lineage(state.where("_done").unionByName(moved))
-    value_found = F.when(F.col("converged"), F.col("_t") + F.col("_low")).otherwise(F.lit(float("nan")))
-    return state.select(gene, value_found.alias("li"), "converged")
-
-
-def gene_thresholds(scores: DataFrame, *, gene: str = "gene_encoding", value: str = "similarity") -> DataFrame:
-    """``(gene, similarity_threshold, converged)``: the smaller of Yen and Li.
-
-    A gene whose iteration does not converge gets the median of the other thresholds.
-    """
-    both = yen_thresholds(scores, gene=gene, value=value).join(li_thresholds(scores, gene=gene, value=value), gene)
-    return backfill_thresholds(both.select(gene, F.least("yen", "li").alias("similarity_threshold"), "converged"))
-
-
-def backfill_thresholds(thresholds: DataFrame) -> DataFrame:
-    """Fill thresholds that did not converge with the median of those that did (one row per gene)."""
-    fallback = thresholds.where("converged").agg(F.percentile("similarity_threshold", F.lit(0.5))).scalar()
-    return thresholds.withColumn(
-        "similarity_threshold", F.when(F.col("converged"), F.col("similarity_threshold")).otherwise(fallback)
-    )
-
-
 def assign(predictions: DataFrame, cells: DataFrame) -> DataFrame:
     """Predictions of all tiles -> the segmentation output table."""
     # Read by the histogram, the iteration and the result.

@@ -123,6 +123,41 @@ def test_unconverged_iteration_is_backfilled(spark):
     assert rows(A.backfill_thresholds(df)) == [(0, 1.0, True), (1, 3.0, True), (2, 2.0, False)]
 
 
+def plain_li(values, max_iter=250):
+    v = np.asarray(values, float)
+    if len(set(v)) == 1:
+        return v[0], True
+    x = v - v.min()
+    tol = np.diff(np.unique(x)).min() / 2
+    t, step = x.mean(), 1
+    while True:
+        low, high = x[x <= t], x[x > t]
+        b, f = low.mean(), high.mean() if len(high) else 0.0
+        step += 1
+        if b == 0 or f == 0:
+            return t + v.min(), True
+        after = (b - f) / (np.log(b) - np.log(f))
+        t, moved = after, abs(after - t)
+        if moved <= tol or step > max_iter:
+            return t + v.min(), step <= max_iter
+
+
+@pytest.mark.parametrize("block_rows", [3, 64, 4096])
+def test_li_reads_only_the_blocks_it_passes(spark, block_rows):
+    rng = np.random.default_rng(8)
+    sets = {
+        0: rng.random(700), 1: np.round(rng.normal(size=900), 2), 2: rng.random(400) ** 6, 3: np.array([0.25] * 9), 4: np.array([-1.0, 3.0]),
+        5: np.concatenate([rng.normal(0, 1, 300), rng.normal(50, 1, 5)]), 6: np.array([0.0, 0.0, 1e-9, 1.0]),
+    }
+    data = [(f"g{g}", float(x)) for g, v in sets.items() for x in v] + [("g0", None), (None, 0.5), (None, 0.75)]
+    df = spark.createDataFrame(data, "gene string, similarity double").repartition(5)
+    got = {r["gene"]: (r["li"], r["converged"]) for r in A.li_thresholds(df, gene="gene", block_rows=block_rows).collect()}
+    assert len(got) == len(sets)
+    for g, v in sets.items():
+        want, converged = plain_li(v)
+        assert got[f"g{g}"] == (pytest.approx(want, abs=1e-9), converged)
+
+
 def test_assignment_ties_and_missing(spark):
     scored = spark.createDataFrame([(1, 5, 0.5), (1, 4, 0.5), (2, 7, 0.1)], "src long, dst long, similarity double")
     assert rows(A.best_per_source(scored)) == [(1, 4, 0.5), (2, 7, 0.1)]
