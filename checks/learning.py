@@ -292,30 +292,51 @@ def w_cluster_cdf(t):
     return L.cluster_cdf(_simtab(t), t.vectors.select("label").distinct()).withColumn("upper", r("upper"))
 
 
+# Draws of the sampling operators: 52 bits of md5(keys:seed).
+def _draw(*keys, seed):
+    joined = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(CAST('0x' || substr(md5({joined} || ':{seed}'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def _drawn(kind, weight, offset):
+    """CTEs: the cluster and the member that each vector draws."""
+    return f"""{kind}_w AS (SELECT a, b, greatest({weight}, 1e-8) AS w FROM simtab),
+{kind}_c AS (SELECT a, b, CASE WHEN b = max(b) OVER (PARTITION BY a) THEN 1 ELSE sum(w) OVER (PARTITION BY a ORDER BY b) / sum(w) OVER (PARTITION BY a) END AS upper FROM {kind}_w),
+{kind}_l AS (SELECT vec_id, min(b) AS drawn FROM embeddings JOIN {kind}_c ON a = label AND upper >= {_draw("vec_id", seed=offset)} GROUP BY 1),
+{kind} AS (SELECT l.vec_id, drawn, m.vec_id AS member FROM {kind}_l l JOIN sizes s ON s.label = drawn
+  JOIN placed m ON m.label = drawn AND m.pos = CAST(floor({_draw("l.vec_id", seed=offset + 4)} * s.n) AS BIGINT))"""
+
+
+_OWN = "CASE WHEN a = b THEN 1 ELSE sim END"
+
+
 @query(
     "m_sample_triplets",
-    """SELECT vec_id AS id, label, TRUE AS positive_in_cluster, TRUE AS negative_in_cluster FROM embeddings""",
+    with_(
+        _SIMTAB,
+        "placed AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings), "
+        "sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)",
+        _drawn("p", _OWN, 0),
+        _drawn("q", f"-({_OWN})", 1),
+    )
+    + """SELECT vec_id AS id, label, p.member AS positive, p.drawn AS positive_label, q.member AS negative, q.drawn AS negative_label
+      FROM embeddings JOIN p USING (vec_id) JOIN q USING (vec_id)""",
 )
 def m_sample_triplets(t):
-    """Every anchor gets one triplet whose members are in the drawn clusters."""
-    drawn = L.sample_triplets(t.vectors, _simtab(t))
-    labels = t.vectors.select("id", "label")
-    p = labels.select(F.col("id").alias("positive"), F.col("label").alias("pl"))
-    n = labels.select(F.col("id").alias("negative"), F.col("label").alias("nl"))
-    return drawn.join(p, "positive").join(n, "negative").select(
-        "id",
-        "label",
-        (F.col("pl") == F.col("positive_label")).alias("positive_in_cluster"),
-        (F.col("nl") == F.col("negative_label")).alias("negative_in_cluster"),
-    )
+    """The triplets themselves: clusters and members drawn by md5."""
+    return L.sample_triplets(t.vectors, _simtab(t))
 
 
 @query(
     "m_stratified_anchors",
-    "SELECT label, CAST((SELECT round(count(*) / CAST(count(DISTINCT label) AS DOUBLE)) FROM embeddings) AS BIGINT) AS n FROM embeddings GROUP BY 1",
+    with_(
+        f"""k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_draw("vec_id", seed=0)}) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+g AS (SELECT greatest(CAST(round(count(*) / CAST(count(DISTINCT label) AS DOUBLE)) AS BIGINT), 1) AS goal FROM embeddings)"""
+    )
+    + "SELECT vec_id AS id, label, unnest(range((goal - pos - 1) // n + 1)) AS copy FROM k, g WHERE pos < goal",
 )
 def m_stratified_anchors(t):
-    return L.stratified_anchors(t.vectors).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return L.stratified_anchors(t.vectors)
 
 
 _TRI = """tri AS (SELECT a.vec_id AS id, a.label, p.label AS pl, n.label AS nl, a.embedding AS ea, p.embedding AS ep, n.embedding AS en FROM embeddings a
@@ -355,20 +376,35 @@ def m_metric_loss(t):
 
 
 def _belongs(t):
+    """Parts as points, suppliers as cells: every vector is a point and a cell."""
     n = t.vectors.agg(F.count(F.lit(1))).scalar()
-    edges = t.lineitem.select(F.pmod("l_partkey", n).alias("src"), F.pmod("l_suppkey", F.lit(10)).alias("dst")).distinct()
-    cells = t.vectors.where("id < 10").select("id", "embedding")
-    return edges, t.vectors.select("id", "embedding"), cells
+    edges = t.lineitem.select(F.pmod("l_partkey", n).alias("src"), F.pmod("l_suppkey", n).alias("dst")).distinct()
+    nodes = t.vectors.select("id", "embedding")
+    return edges, nodes, nodes, t.vectors.count()
+
 
+_SEGMENT = f"""c AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT DISTINCT l_partkey % n AS src, l_suppkey % n AS dst, n FROM lineitem, c),
+f AS (SELECT src, dst, (dst + CAST(floor({_draw("src", "dst", seed=0)} * (n - 1)) AS BIGINT) + 1) % n AS far FROM e),
+t AS (SELECT src, dst, a.embedding AS ea, p.embedding AS ep, q.embedding AS eq FROM f JOIN embeddings a ON a.vec_id = src
+  JOIN embeddings p ON p.vec_id = dst JOIN embeddings q ON q.vec_id = far),
+u AS (SELECT src, dst, CAST(unnest(ea) AS DOUBLE) AS a, CAST(unnest(ep) AS DOUBLE) AS p, CAST(unnest(eq) AS DOUBLE) AS q FROM t),
+m AS (SELECT sqrt(sum((a - p) ** 2)) AS dp, sqrt(sum((a - q) ** 2)) AS dq, sum(a * p) AS sp, sum(a * q) AS sq FROM u GROUP BY src, dst)"""
 
-@query("m_segmentation_loss_triplet")
+
+@query("m_segmentation_loss_triplet", with_(_SEGMENT) + "SELECT round(avg(greatest(dp - dq + 0.4, 0)), 6) + 0 AS loss FROM m")
 def m_segmentation_loss_triplet(t):
-    return L.segmentation_loss(*_belongs(t), 10, "triplet")
+    edges, src, dst, n = _belongs(t)
+    return L.segmentation_loss(edges, src, dst, n, "triplet").withColumn("loss", r("loss"))
 
 
-@query("m_segmentation_loss_bce")
+@query(
+    "m_segmentation_loss_bce",
+    with_(_SEGMENT)
+    + """SELECT round(avg((greatest(-sp, 0) + ln(1 + exp(-abs(sp))) + greatest(sq, 0) + ln(1 + exp(-abs(sq)))) / 2), 6) + 0 AS loss FROM m""",
+)
 def m_segmentation_loss_bce(t):
-    return L.segmentation_loss(*_belongs(t), 10, "bce")
+    edges, src, dst, n = _belongs(t)
+    return L.segmentation_loss(edges, src, dst, n, "bce").withColumn("loss", r("loss"))
 
 
 # --- encoder --------------------------------------------------------------------
@@ -377,14 +413,16 @@ def m_segmentation_loss_bce(t):
 @query(
     "m_position_codes",
     with_(EVENTS)
-    + """, b AS (SELECT owner, min(x) AS x0, max(x) AS x1 FROM ev GROUP BY 1), s AS (SELECT row_index, (x - x0) / (x1 - x0 + 1e-8) AS v FROM ev JOIN b USING (owner))
-      SELECT row_index, CAST(i AS INT) AS dim, round(CASE WHEN i < 4 THEN cos(v * exp(0 - ln(10000.0::DOUBLE) * i / 4)) ELSE sin(v * exp(0 - ln(10000.0::DOUBLE) * (i - 4) / 4)) END, 6) + 0 AS code
+    + """, b AS (SELECT owner, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ev GROUP BY 1),
+      s AS (SELECT row_index, 'px' AS axis, (x - x0) / (x1 - x0 + 1e-8) AS v FROM ev JOIN b USING (owner) UNION ALL
+        SELECT row_index, 'py', (y - y0) / (y1 - y0 + 1e-8) FROM ev JOIN b USING (owner))
+      SELECT row_index, axis, CAST(i AS INT) AS dim, round(CASE WHEN i < 4 THEN cos(v * exp(0 - ln(10000.0::DOUBLE) * i / 4)) ELSE sin(v * exp(0 - ln(10000.0::DOUBLE) * (i - 4) / 4)) END, 6) + 0 AS code
       FROM s, range(8) a(i)""",
 )
 def m_position_codes(t):
     coded = EN.position_codes(t.event_points.withColumnRenamed("owner", "tile_id"), size=8)
-    out = coded.select("row_index", F.posexplode("px").alias("dim", "code"))
-    return out.withColumn("code", r("code"))
+    axes = [coded.select("row_index", F.lit(axis).alias("axis"), F.posexplode(axis).alias("dim", "code")) for axis in ("px", "py")]
+    return axes[0].unionByName(axes[1]).withColumn("code", r("code"))
 
 
 def _encoder_tables(t):

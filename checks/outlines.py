@@ -131,22 +131,25 @@ def g_nested_rings(t):
 @query(
     "q_label_polygons",
     with_(POLYGONS)
-    + """, ext AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM verts WHERE cell_id % 2 = 0),
+    + """, ext AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM verts),
       nn AS (SELECT *, CAST(ceil((x1 - x0) / 300) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 300) AS BIGINT) AS ny FROM ext),
       tiles AS (SELECT i * ny + j AS tile_id, x0 + i * 300 AS tx0, y0 + j * 300 AS ty0, least(x0 + i * 300 + 300, x1) AS tx1,
         least(y0 + j * 300 + 300, y1) AS ty1 FROM nn, range(nx) a(i), range(ny) b(j)),
-      axes AS (SELECT cell_id, y1 - y2 AS nx, x2 - x1 AS ny, i FROM edges WHERE cell_id % 2 = 0),
+      bit(kind, piece, i, v) AS (VALUES (0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3), (0, 0, 4, 4), (0, 0, 5, 5),
+        (1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 3), (1, 1, 0, 1), (1, 1, 1, 2), (1, 1, 2, 3)),
+      pv AS (SELECT cell_id, piece, b.i, x, y, count(*) OVER (PARTITION BY cell_id, piece) AS m FROM verts v JOIN bit b ON b.kind = cell_id % 2 AND b.v = v.i),
+      axes AS (SELECT a.cell_id, a.piece, a.i, a.y - b.y AS nx, b.x - a.x AS ny FROM pv a JOIN pv b ON a.cell_id = b.cell_id AND a.piece = b.piece AND b.i = (a.i + 1) % a.m),
       corner AS (SELECT tile_id, unnest([tx0, tx1, tx1, tx0]) AS x, unnest([ty0, ty0, ty1, ty1]) AS y FROM tiles),
-      sp AS (SELECT a.cell_id, a.i, a.nx, a.ny, min(nx * x + ny * y) AS a0, max(nx * x + ny * y) AS a1 FROM axes a JOIN verts v USING (cell_id) GROUP BY ALL),
-      tp AS (SELECT cell_id, tile_id, i, sp.a0, sp.a1, min(nx * x + ny * y) AS b0, max(nx * x + ny * y) AS b1 FROM sp, corner GROUP BY ALL),
-      ok AS (SELECT cell_id, tile_id FROM tp GROUP BY 1, 2 HAVING bool_and(a0 <= b1 AND b0 <= a1))
-      SELECT cell_id, CAST(min(tile_id) AS BIGINT) AS tile_id FROM ok JOIN boxes USING (cell_id) JOIN tiles USING (tile_id)
+      sp AS (SELECT a.cell_id, a.piece, a.i, a.nx, a.ny, min(nx * x + ny * y) AS a0, max(nx * x + ny * y) AS a1 FROM axes a JOIN pv v USING (cell_id, piece) GROUP BY ALL),
+      tp AS (SELECT cell_id, piece, tile_id, i, sp.a0, sp.a1, min(nx * x + ny * y) AS b0, max(nx * x + ny * y) AS b1 FROM sp, corner GROUP BY ALL),
+      pb AS (SELECT cell_id, piece, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM pv GROUP BY 1, 2),
+      ok AS (SELECT cell_id, piece, tile_id FROM tp GROUP BY ALL HAVING bool_and(a0 <= b1 AND b0 <= a1))
+      SELECT cell_id, CAST(min(tile_id) AS BIGINT) AS tile_id FROM ok JOIN pb USING (cell_id, piece) JOIN tiles USING (tile_id)
       WHERE bx0 <= tx1 AND tx0 <= bx1 AND by0 <= ty1 AND ty0 <= by1 GROUP BY 1""",
 )
 def q_label_polygons(t):
-    hexagons = t.polygons.where(F.pmod("cell_id", F.lit(2)) == 0)
-    tiles = square_tiles(O.ring_vertices(hexagons), 300.0)
-    return label_polygons(hexagons, tiles).select("cell_id", "tile_id")
+    tiles = square_tiles(O.ring_vertices(t.polygons), 300.0)
+    return label_polygons(t.polygons, tiles).select("cell_id", "tile_id")
 
 
 @query(

@@ -8,7 +8,7 @@ from checks.base import EVENTS, POINTS, POLYGONS, query, r, with_
 from gridloom.functions import geometry as G
 from gridloom.operators import graph as GR
 from gridloom.operators import tiling as TL
-from gridloom.operators.buffered_counts import buffered_counts, expression_matrix, point_regions, quadrants
+from gridloom.operators.buffered_counts import buffered_counts, expression_matrix, point_regions
 from gridloom.operators.knn import knn, knn_within, neighbour_edges, neighbour_lists
 from gridloom.operators.packing import pack_tiles, tile_weights
 from gridloom.operators.spatial_join import (
@@ -117,35 +117,47 @@ def a_region_counts(t):
 
 
 # Convex against convex: two shapes meet when no edge normal of either separates them.
-_HEX = """hv AS (SELECT * FROM verts WHERE cell_id % 2 = 0), he AS (SELECT * FROM edges WHERE cell_id % 2 = 0),
-hp AS (SELECT a.cell_id AS a, b.cell_id AS b FROM boxes a JOIN boxes b ON a.bx0 <= b.bx1 AND b.bx0 <= a.bx1
-  AND a.by0 <= b.by1 AND b.by0 <= a.by1 WHERE a.cell_id % 2 = 0 AND b.cell_id % 2 = 0)"""
+# Convex pieces: a hexagon is one, an arrow is cut in two from its notch to its tip; ``hull`` is the arrow
+# with its notch filled.  Two convex pieces are apart where an edge of one of them separates their spans.
+_PIECES = """bit(kind, piece, i, v) AS (VALUES (0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3), (0, 0, 4, 4), (0, 0, 5, 5),
+  (1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 3), (1, 1, 0, 1), (1, 1, 1, 2), (1, 1, 2, 3), (1, 2, 0, 0), (1, 2, 1, 3), (1, 2, 2, 2)),
+pv AS (SELECT cell_id, piece, b.i, x, y, count(*) OVER (PARTITION BY cell_id, piece) AS m FROM verts v JOIN bit b ON b.kind = cell_id % 2 AND b.v = v.i),
+pe AS (SELECT a.cell_id, a.piece, a.i, a.y - b.y AS nx, b.x - a.x AS ny FROM pv a JOIN pv b ON a.cell_id = b.cell_id AND a.piece = b.piece AND b.i = (a.i + 1) % a.m),
+bp AS (SELECT a.cell_id AS a, b.cell_id AS b FROM boxes a JOIN boxes b ON a.bx0 <= b.bx1 AND b.bx0 <= a.bx1 AND a.by0 <= b.by1 AND b.by0 <= a.by1),
+pp AS (SELECT bp.*, p.piece AS ap, q.piece AS bq FROM bp JOIN (SELECT DISTINCT cell_id, piece FROM pv) p ON p.cell_id = a JOIN (SELECT DISTINCT cell_id, piece FROM pv) q ON q.cell_id = b),
+axes AS (SELECT pp.*, 0 AS side, i, nx, ny FROM pp JOIN pe ON pe.cell_id = a AND pe.piece = ap UNION ALL
+  SELECT pp.*, 1, i, nx, ny FROM pp JOIN pe ON pe.cell_id = b AND pe.piece = bq),
+spans AS (SELECT x.a, x.b, ap, bq, side, x.i,
+  (SELECT min(nx * v.x + ny * v.y) FROM pv v WHERE v.cell_id = x.a AND v.piece = ap) AS a0, (SELECT max(nx * v.x + ny * v.y) FROM pv v WHERE v.cell_id = x.a AND v.piece = ap) AS a1,
+  (SELECT min(nx * v.x + ny * v.y) FROM pv v WHERE v.cell_id = x.b AND v.piece = bq) AS b0, (SELECT max(nx * v.x + ny * v.y) FROM pv v WHERE v.cell_id = x.b AND v.piece = bq) AS b1
+  FROM axes x)"""
 
 
 @query(
     "j_polygons_intersect",
-    with_(POLYGONS, _HEX)
-    + """, axes AS (SELECT a, b, y1 - y2 AS nx, x2 - x1 AS ny, cell_id, i FROM hp JOIN he ON he.cell_id = a
-        UNION ALL SELECT a, b, y1 - y2, x2 - x1, cell_id, i FROM hp JOIN he ON he.cell_id = b),
-      spans AS (SELECT x.a, x.b, x.nx, x.ny, min(nx * v.x + ny * v.y) FILTER (v.cell_id = x.a) AS a0, max(nx * v.x + ny * v.y) FILTER (v.cell_id = x.a) AS a1,
-        min(nx * v.x + ny * v.y) FILTER (v.cell_id = x.b) AS b0, max(nx * v.x + ny * v.y) FILTER (v.cell_id = x.b) AS b1
-        FROM axes x JOIN hv v ON v.cell_id IN (x.a, x.b) GROUP BY ALL)
-      SELECT a AS index_query, b AS index_match FROM spans GROUP BY 1, 2 HAVING bool_and(a0 <= b1 AND b0 <= a1)""",
+    with_(POLYGONS, _PIECES)
+    + """, met AS (SELECT a, b FROM spans WHERE ap < 2 AND bq < 2 GROUP BY a, b, ap, bq HAVING bool_and(a0 <= b1 AND b0 <= a1))
+      SELECT DISTINCT a AS index_query, b AS index_match FROM met""",
 )
 def j_polygons_intersect(t):
-    hexagons = t.polygons.where(F.pmod("cell_id", F.lit(2)) == 0)
-    return polygons_in_polygons(hexagons, hexagons, "intersects")
+    return polygons_in_polygons(t.polygons, t.polygons, "intersects")
 
 
+# Piece 2 of an arrow is its notch: what is covered lies in the hull and meets no inner point of the notch.
 @query(
     "j_polygons_contain",
-    with_(POLYGONS, _HEX)
-    + """SELECT hp.a AS index_query, hp.b AS index_match FROM hp JOIN hv ON hv.cell_id = hp.a JOIN he ON he.cell_id = hp.b
-      GROUP BY 1, 2 HAVING bool_and((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0)""",
+    with_(POLYGONS, _PIECES)
+    + """, rim AS (SELECT cell_id, x1, y1, x2, y2 FROM edges WHERE cell_id % 2 = 0 UNION ALL
+        SELECT a.cell_id, a.x, a.y, b.x, b.y FROM verts a JOIN verts b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 3 WHERE a.cell_id % 2 = 1 AND a.i < 3),
+      inside AS (SELECT bp.a, bp.b FROM bp JOIN verts v ON v.cell_id = bp.a JOIN rim r ON r.cell_id = bp.b GROUP BY 1, 2
+        HAVING bool_and((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0)),
+      apart AS (SELECT a, b, ap FROM spans WHERE ap < 2 AND bq = 2 GROUP BY a, b, ap HAVING bool_or(a1 <= b0 OR b1 <= a0)),
+      whole AS (SELECT a, b, count(*) AS n FROM apart GROUP BY 1, 2)
+      SELECT i.a AS index_query, i.b AS index_match FROM inside i LEFT JOIN whole w ON w.a = i.a AND w.b = i.b
+      WHERE i.b % 2 = 0 OR w.n = CASE WHEN i.a % 2 = 0 THEN 1 ELSE 2 END""",
 )
 def j_polygons_contain(t):
-    hexagons = t.polygons.where(F.pmod("cell_id", F.lit(2)) == 0)
-    return polygons_in_polygons(hexagons, hexagons, "contains")
+    return polygons_in_polygons(t.polygons, t.polygons, "contains")
 
 
 # --- nearest neighbours ---------------------------------------------------------
@@ -308,7 +320,7 @@ def q_quadtree_label(t):
 @query(
     "q_point_regions",
     with_(EVENTS, _EXTENT)
-    + """, q AS (SELECT x0 - 1 AS x0, y0 - 1 AS y0, (x1 + 1 - (x0 - 1)) / 2 + x0 - 1 AS x1, (y1 + 1 - (y0 - 1)) / 2 + y0 - 1 AS y1 FROM ext),
+    + """, q AS (SELECT x0 - 1 AS x0, y0 - 1 AS y0, x1 + 1 AS x1, y1 + 1 AS y1 FROM ext),
       k AS (SELECT level, x0, y0, (x1 - x0) AS w, (y1 - y0) AS h, CAST(floor((x - x0) / ((x1 - x0) / 1024)) AS BIGINT) >> CAST(9 - level AS INT) AS kx,
         CAST(floor((y - y0) / ((y1 - y0) / 1024)) AS BIGINT) >> CAST(9 - level AS INT) AS ky
         FROM ev, q, range(10) a(level) WHERE x > x0 AND x < x1 AND y > y0 AND y < y1),
@@ -319,8 +331,8 @@ def q_quadtree_label(t):
 )
 def q_point_regions(t):
     points = t.event_points
-    first = quadrants(TL.extent(points))[0]
-    leaves = point_regions(points, first, 100)
+    x0, y0, x1, y1 = TL.extent(points)
+    leaves = point_regions(points, (x0 - 1, y0 - 1, x1 + 1, y1 + 1), 100)
     return leaves.select("n", r("x_min", 4).alias("x_min"), r("y_min", 4).alias("y_min"))
 
 

@@ -73,7 +73,7 @@ def stratified_anchors(labelled: DataFrame, seed: int = 0) -> DataFrame:
     in turn.  Column ``copy`` tells the repeats apart.
     """
     placed = position_in_group(
-        labelled.select("id", "label").withColumn("_h", F.xxhash64("id", F.lit(seed))), "label", "_h", "pos"
+        labelled.select("id", "label").withColumn("_h", uniform("id", seed=seed)), "label", "_h", "pos"
     )
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     target = sizes.agg(F.greatest(F.round(F.avg("n")).cast("long"), F.lit(1).cast("long"))).scalar()

@@ -17,3 +17,13 @@ def keyed_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
     if how not in ("inner", "left"):
         raise ValueError(f"a keyed join is inner or left, not {how!r}")
     return many.join(few, keys, how)
+
+
+def is_broadcast_size(written: DataFrame) -> bool:
+    """True where Spark would broadcast this table: its measured size is within the session's threshold.
+
+    ``written`` is a table as ``session.cut_lineage`` gives it, whose estimate is the size of its files.
+    """
+    conf = written.sparkSession._jsparkSession.sessionState().conf()
+    size = written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
