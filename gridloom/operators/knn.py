@@ -1,12 +1,14 @@
 """Exact planar k-nearest-neighbour joins.
 
 Neighbour order is (distance, id), so the result is a function of the data alone.
-Two things keep the join from meeting all pairs of a crowded place:
+Three things keep the join from meeting all pairs of a crowded place:
 
 * only the ``k`` smallest ids at one location can ever be among the first ``k``
   neighbours of anything, so at most ``k`` candidates per location are kept;
-* where a search window still holds too many candidates, it is refined cell by
-  cell (counts only) until the cells that can contain a neighbour are few.
+* places are searched tile by tile with a halo (``tile_search``), which settles all
+  but the few whose neighbours may lie beyond it;
+* for those, a search window is refined cell by cell (counts only) until the cells
+  that can contain a neighbour are few.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.grid import cell
 from gridloom.operators.skew import keyed_join
+from gridloom.operators.tile_search import TILE, tile_search
 from gridloom.session import cut_lineage
 
 # Candidates one search window may hold before it is refined.
@@ -38,12 +42,6 @@ def _candidates(points: DataFrame, k: int, ident: str, x: str, y: str) -> DataFr
     )
 
 
-def _fullest(table: DataFrame, x: str, y: str, side: float) -> int:
-    """Rows in the fullest grid cell."""
-    cells = table.groupBy(cell(F.col(x), side), cell(F.col(y), side)).count()
-    return cells.agg(F.max("count")).first()[0] or 0
-
-
 def _distance2() -> Column:
     dx, dy = F.col("qx") - F.col("cx"), F.col("qy") - F.col("cy")
     return dx * dx + dy * dy
@@ -70,6 +68,7 @@ def knn_within(
     y: str = "y",
     closed: bool = False,
     max_window: int = MAX_WINDOW,
+    tile: int = TILE,
 ) -> DataFrame:
     """Up to ``k`` nearest points within ``radius``: ``(src, dst, distance, rank)``.
 
@@ -83,28 +82,30 @@ def knn_within(
     asked = source.select(
         F.col(query_ident or ident).alias("src"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")
     )
-    # A hair wider than the radius, so rounding can never push a neighbour two cells away.
-    side = radius * (1.0 + 1e-9)
     limit2 = radius * radius
     near = F.col("d2") <= limit2 if closed else F.col("d2") < limit2
-
-    if _fullest(candidates, "cx", "cy", side) > max_window:
-        places = asked.select("qx", "qy").distinct()
+    places = asked.where(F.col("qx").isNotNull() & F.col("qy").isNotNull()).select("qx", "qy").distinct()
+    found, rest = _by_tiles(candidates, places, k, radius, tile)
+    if rest is not None:
+        # A hair wider than the radius, so rounding can never push a neighbour two cells away.
+        side = radius * (1.0 + 1e-9)
         around = F.sequence(F.lit(-1), F.lit(1))
-        start = places.withColumn("kx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
+        start = rest.withColumn("kx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
             "ky", F.explode(F.transform(around, lambda o: cell(F.col("qy"), side) + o))
         )
-        found = _refined(start, candidates, k, side, max_window).where(near)
-        return _finish(keyed_join(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
+        found = found.unionByName(_refined(start, candidates, k, side, max_window).select(*found.columns))
+    return _finish(keyed_join(asked, _top_k(found.where(near), ["qx", "qy"], k), ["qx", "qy"]))
 
-    around = F.sequence(F.lit(-1), F.lit(1))
-    looked = asked.withColumn("gx", F.explode(F.transform(around, lambda o: cell(F.col("qx"), side) + o))).withColumn(
-        "gy", F.explode(F.transform(around, lambda o: cell(F.col("qy"), side) + o))
-    )
-    placed = candidates.withColumn("gx", cell(F.col("cx"), side)).withColumn("gy", cell(F.col("cy"), side))
-    keys = ["gx", "gy"]
-    pairs = keyed_join(looked, placed, keys).withColumn("d2", _distance2()).where(near)
-    return _finish(_top_k(pairs, ["src"], k))
+
+def _by_tiles(candidates: DataFrame, places: DataFrame, k: int, radius: float | None, tile: int) -> tuple[DataFrame, DataFrame | None]:
+    """Neighbours ``(qx, qy, dst, cx, cy, d2)`` of the certain places, and the places left, if there are any."""
+    candidates, places = cut_lineage(candidates), cut_lineage(places)
+    if candidates.isEmpty() or places.isEmpty():
+        schema = T.StructType([*places.schema.fields, *candidates.schema.fields])
+        return candidates.sparkSession.createDataFrame([], schema).withColumn("d2", _distance2()), None
+    found, rest = tile_search(candidates, places, k, radius, tile)
+    rest = cut_lineage(rest)
+    return found.withColumn("d2", _distance2()), None if rest.isEmpty() else rest
 
 
 def knn(
@@ -117,6 +118,7 @@ def knn(
     x: str = "x",
     y: str = "y",
     max_window: int = MAX_WINDOW,
+    tile: int = TILE,
 ) -> DataFrame:
     """The ``k`` nearest points of every query, at any distance."""
     if k < 1:
@@ -125,14 +127,14 @@ def knn(
     asked = queries.select(
         F.col(query_ident).alias("src"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")
     )
-    reach = candidates.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy")))).first()[0]
-    if reach is None:
-        return _finish(_top_k(asked.join(candidates.limit(0), F.lit(False)).withColumn("d2", _distance2()), ["src"], k))
-    side = 2.0 ** math.ceil(math.log2(max(reach, 2.0**-20)) + 1e-9 + 1)
-    roots = F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))
-    places = asked.select("qx", "qy").distinct()
-    start = places.withColumn("kx", F.explode(roots)).withColumn("ky", F.explode(roots))
-    found = _refined(start, candidates, k, side, max_window)
+    places = asked.where(F.col("qx").isNotNull() & F.col("qy").isNotNull()).select("qx", "qy").distinct()
+    found, rest = _by_tiles(candidates, places, k, None, tile)
+    if rest is not None:
+        reach = candidates.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy")))).first()[0]
+        side = 2.0 ** math.ceil(math.log2(max(reach, 2.0**-20)) + 1e-9 + 1)
+        roots = F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+        start = rest.withColumn("kx", F.explode(roots)).withColumn("ky", F.explode(roots))
+        found = found.unionByName(_refined(start, candidates, k, side, max_window).select(*found.columns))
     return _finish(keyed_join(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
 
 

@@ -194,3 +194,66 @@ def test_negative_edges_avoid_positives(spark):
     assert 60 < drawn.count() <= 150
     assert rows(drawn) == rows(GR.negative_edges(edges, 2.5))
     assert drawn.agg(F.max("dst")).first()[0] < 5
+
+
+def random_rings(rng, n):
+    out = []
+    for i in range(n):
+        m = int(rng.integers(3, 40))
+        angle = np.sort(rng.random(m)) * 2 * np.pi
+        radius = rng.uniform(0.2, 1, m) * 10 ** rng.uniform(-1, 2)
+        cx, cy = rng.uniform(-50, 50, 2)
+        ring = np.stack([cx + radius * np.cos(angle), cy + radius * np.sin(angle)], 1)
+        out.append(np.round(ring * 4) / 4 if i % 3 == 0 else ring)
+    return out
+
+
+@pytest.mark.parametrize("predicate", ["contains", "intersects"])
+@pytest.mark.parametrize("grown", [False, True])
+def test_clipped_cells_give_what_whole_rings_give(spark, predicate, grown):
+    from gridloom.functions.planar import points_against_rings
+
+    rng = np.random.default_rng(12)
+    rings = random_rings(rng, 60)
+    xy = np.concatenate([rng.uniform(-80, 80, (1500, 2)), np.concatenate([r[:4] for r in rings]), np.concatenate([(r[:3] + r[1:4][: len(r[:3])]) / 2 for r in rings if len(r) > 3])])
+    reach = np.where(np.arange(60) % 4 == 0, 0.0, rng.uniform(0, 5, 60)) if grown else np.zeros(60)
+    schema = POLY + ", grow double"
+    polygons = spark.createDataFrame([(i, [tuple(map(float, p)) for p in r], float(b)) for i, (r, b) in enumerate(zip(rings, reach))], schema)
+    pairs = points_in_polygons(points_df(spark, xy), polygons, predicate, buffer=F.col("grow") if grown else None)
+    want = set()
+    for j, (ring, b) in enumerate(zip(rings, reach)):
+        n = len(xy)
+        odd, rim, gap = points_against_rings(xy[:, 0], xy[:, 1], np.zeros(n, int), np.full(n, len(ring)), ring[:, 0], ring[:, 1], True)
+        hit = odd & ~rim if predicate == "contains" else odd | rim
+        if b > 0:
+            hit |= gap < b if predicate == "contains" else gap <= b
+        want |= {(int(i), j) for i in np.flatnonzero(hit)}
+    assert {tuple(r) for r in pairs.collect()} == want and pairs.count() == len(want)
+
+
+def test_inside_cells_carry_no_edges(spark):
+    from gridloom.operators.clipped import clip
+
+    ring = [(float(np.cos(a) * 100), float(np.sin(a) * 100)) for a in np.linspace(0, 2 * np.pi, 200, endpoint=False)]
+    one = spark.createDataFrame([(1, 0.0, [x for x, _ in ring], [y for _, y in ring], -100.0, -100.0, 100.0, 100.0)],
+                                "index_match long, _buffer double, _xs array<double>, _ys array<double>, a double, b double, c double, d double")
+    cells = clip(one, ("a", "b", "c", "d")).collect()
+    free = [c for c in cells if c["_x1"] is None]
+    assert free and all(c["_odd"] for c in free)
+    assert max(len(c["_x1"]) for c in cells if c["_x1"] is not None) < 80
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+@pytest.mark.parametrize("radius", [None, 1.5, 40.0])
+def test_tiles_and_second_search_match_brute_force(spark, tile, radius):
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(0, 0.05, (300, 2)), rng.normal((7, 3), 2, (200, 2)), rng.uniform(-90, 90, (60, 2)), np.tile([[3.0, 3.0]], (30, 1)), [[400.0, -400.0]]])
+    asked = np.concatenate([xy[::7], rng.uniform(-100, 100, (40, 2)), [[3.0, 3.0]] * 3, [[-1000.0, 2.0]]])
+    pts = points_df(spark, xy).repartition(3)
+    queries = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(asked)] + [(9999, None, 1.0)], "cell_id long, x double, y double")
+    if radius is None:
+        got = as_lists(knn(pts, queries, 4, tile=tile))
+    else:
+        got = as_lists(knn_within(pts, 4, radius, queries=queries, query_ident="cell_id", tile=tile))
+    want = {k: v for k, v in brute_knn(xy, asked, 4, np.inf if radius is None else radius).items() if v}
+    assert got == want
