@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Genes along a side of a block of the Gram matrix; entries and cells that a task multiplies together.
+GRAM_BLOCK = 512
+HELD_ENTRIES, HELD_CELLS = 1 << 20, 8192
+
 
 def count_matrix(points: DataFrame, *, cell: str = "cell_id", feature: str = "feature_name") -> DataFrame:
     """``(cell, feature, n)`` for assigned points."""
@@ -90,22 +98,82 @@ def check_reference_genes(
     return counts.join(known, feature, "left_semi") if named else counts
 
 
+def _block_products(cells: int, owner: np.ndarray, gene: np.ndarray, value: np.ndarray, genes: int, block: int):
+    """Nonempty entries ``(a, b, sum)`` with ``a <= b`` of the Gram matrix of sparse cells, block pair by block pair."""
+    order = np.argsort(gene, kind="stable")
+    owner, gene, value = owner[order], gene[order], value[order]
+    edges = np.searchsorted(gene, np.arange(0, genes + block, block))
+    # Where a product can vanish, presence is counted beside it.
+    signed = bool((value <= 0).any())
+
+    def dense(i: int, what: np.ndarray) -> np.ndarray:
+        a, b = edges[i], edges[i + 1]
+        out = np.zeros((cells, min(block, genes - i * block)))
+        out[owner[a:b], gene[a:b] - i * block] = what[a:b]
+        return out
+
+    there = np.ones(len(value))
+    for i in range(len(edges) - 1):
+        left = dense(i, value)
+        here = dense(i, there) if signed else None
+        for j in range(i, len(edges) - 1):
+            sums = left.T @ dense(j, value)
+            met = (here.T @ dense(j, there)) if signed else sums
+            a, b = np.nonzero(met)
+            keep = (a + i * block <= b + j * block)
+            a, b = a[keep], b[keep]
+            yield a + i * block, b + j * block, sums[a, b]
+
+
+def gene_products(norm: DataFrame, *, cell: str = "cell_id", feature: str = "feature_name", block: int = GRAM_BLOCK) -> DataFrame:
+    """``(gene_a, gene_b, sxy)`` of genes that share a cell, ``gene_a <= gene_b``.
+
+    Cells are rows of sparse entries; a task multiplies blocks of genes over all its cells and passes on sums
+    of pairs, so what is shuffled is bounded by the square of the panel a task, not by the counts.
+    """
+    entry = F.struct(F.col(feature).cast("string").alias("g"), F.col("norm").cast("double").alias("v"))
+    rows = norm.where(F.col(feature).isNotNull()).groupBy(cell).agg(F.collect_list(entry).alias("_row")).select("_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, pa.Array, np.ndarray]] = []
+        entries = cells = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = pa.chunked_array([x[2] for x in held]).combine_chunks().dictionary_encode()
+            shift = np.cumsum([0, *(x[0] for x in held)])
+            owner = np.concatenate([x[1] + at for x, at in zip(held, shift)])
+            # Genes by name, so that a pair has its smaller name first.
+            words = names.dictionary.to_pylist()
+            place = np.argsort(sorted(range(len(words)), key=words.__getitem__))
+            gene = place[np.asarray(names.indices)]
+            ordered = pa.array(sorted(words))
+            for a, b, total in _block_products(int(shift[-1]), owner, gene, np.concatenate([x[3] for x in held]), len(words), block):
+                yield pa.RecordBatch.from_arrays([ordered.take(pa.array(a)), ordered.take(pa.array(b)), pa.array(total)], ["gene_a", "gene_b", "sxy"])
+
+        for batch in batches:
+            row = batch.column(0)
+            offs = np.asarray(row.offsets)
+            flat = row.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+            held.append((batch.num_rows, owner, flat.field(0), np.asarray(flat.field(1).fill_null(0.0))))
+            entries, cells = entries + len(flat), cells + batch.num_rows
+            if entries >= HELD_ENTRIES or cells >= HELD_CELLS:
+                yield from flush()
+                held, entries, cells = [], 0, 0
+        if entries:
+            yield from flush()
+
+    return rows.mapInArrow(run, "gene_a string, gene_b string, sxy double").groupBy("gene_a", "gene_b").agg(F.sum("sxy").alias("sxy"))
+
+
 def gene_moments(norm: DataFrame, n_cells: Column, *, cell: str = "cell_id", feature: str = "feature_name") -> DataFrame:
     """``(gene_a, gene_b, sxy, sa, sb, saa, sbb, cells)`` for ``gene_a <= gene_b``.
 
-    Sparse Gram matrix: zeros contribute nothing to the products and enter through the
-    cell count.  A cell holds each gene once, so it contributes at most panel-size^2
-    products however many points it has, and partial sums leave the map side.
+    Sparse Gram matrix: zeros contribute nothing to the products and enter through the cell count.  A cell
+    holds each gene once.
     """
-    value = norm.select(cell, F.col(feature).alias("g"), F.col("norm").alias("v"))
-    a = value.select(cell, F.col("g").alias("gene_a"), F.col("v").alias("va"))
-    b = value.select(cell, F.col("g").alias("gene_b"), F.col("v").alias("vb"))
-    cross = (
-        a.join(b, cell)
-        .where(F.col("gene_a") <= F.col("gene_b"))
-        .groupBy("gene_a", "gene_b")
-        .agg(F.sum(F.col("va") * F.col("vb")).alias("sxy"))
-    )
+    cross = gene_products(norm, cell=cell, feature=feature)
+    value = norm.select(F.col(feature).alias("g"), F.col("norm").alias("v"))
     single = value.groupBy("g").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
     left = single.select(F.col("g").alias("gene_a"), F.col("s").alias("sa"), F.col("ss").alias("saa"))
     right = single.select(F.col("g").alias("gene_b"), F.col("s").alias("sb"), F.col("ss").alias("sbb"))

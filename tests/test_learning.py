@@ -341,3 +341,23 @@ def test_encoder_matches_numpy(spark):
     for name, want in (("tx", ht), ("bd", hb)):
         got = np.array([r["embedding"] for r in out[name].orderBy("id").collect()])
         assert np.abs(got - want).max() < 1e-5
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_blocked_products_are_the_gram_matrix(spark, block):
+    from gridloom.operators.matrix import gene_products
+
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((70, 11)) < 0.3, rng.integers(-2, 3, (70, 11)), np.nan)
+    names = [f"g{j}" for j in range(10)] + ["Ünique"]
+    data = [(f"c{i}", names[j], float(x[i, j])) for i in range(70) for j in range(11) if not np.isnan(x[i, j])]
+    norm = spark.createDataFrame([*data, ("c0", None, 1.0)], "cell_id string, feature_name string, norm double").repartition(4)
+    got = {(r["gene_a"], r["gene_b"]): r["sxy"] for r in gene_products(norm, block=block).collect()}
+    want = {}
+    for a in range(11):
+        for b in range(11):
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            if names[a] <= names[b] and both.any():
+                want[names[a], names[b]] = float((x[both, a] * x[both, b]).sum())
+    assert got == want
+    assert gene_products(norm.limit(0)).count() == 0
