@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.labelled import TRAIN_ROWS, labelled_sample
 from gridloom.llm.text import array_column, passes, require
 
-TOKEN = re.compile(r"[^\W\d_]+")
+#: A word: letters, with single digits or signs between them as in "id1ot".
+TOKEN = re.compile(r"[^\W\d_]+(?:[0-9@$*!|+][^\W\d_]+)*")
+SIGN = re.compile(r"[^\W\d_]")
 #: Least document frequency of a term among toxic documents (rows, and per mille of them), and
 #: its least log odds.
 MIN_DOCS, MIN_PER_MILLE, MIN_ODDS = 3, 4, 2.5
@@ -39,7 +42,9 @@ REPORTING = frozenset(
     "escribió llamó palabra término".split()
 )
 ADDRESS = frozenset("you your yours youre u tu te toi vous ton ta du dich dir dein deine ihr usted ustedes tú ti".split())
-QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
+#: Quotation marks, and what closes each that can open.
+MARK = re.compile('["“”«»„]')
+CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 
 FEATURES = ("abuse", "quoted", "misspelled", "window", "density", "terms", "address", "length")
 
@@ -49,6 +54,23 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Begins and ends of the quotations of a text, of any length and over any lines, in one scan.
+
+    A mark that closes nothing and opens nothing is passed over; a quotation that is never closed is none.
+    """
+    begins, ends, opened, at = [], [], "", 0
+    for m in MARK.finditer(text):
+        mark = m.group()
+        if opened and mark in CLOSES[opened]:
+            begins.append(at)
+            ends.append(m.end())
+            opened = ""
+        elif not opened and mark in CLOSES:
+            opened, at = mark, m.start()
+    return begins, ends
+
+
 class LexiconAutomaton:
     """All words within ``edits(term)`` of some term, as one lazily built deterministic automaton."""
 
@@ -156,11 +178,23 @@ class Lexicon:
             self._words.clear()
         got = None
         near = self.automaton.match(word) if len(word) >= 3 else None
+        if near is None and len(word) < 5 and not word.isalpha():
+            near = self._masked(word)
         if near is not None and (near[0] == 0 or word not in self.benign):
             got = (self.weights[near[1]] / (1 + near[0]), near[0])
         self._words[word] = got
         return got
 
+    def _masked(self, word: str) -> tuple[int, int] | None:
+        """A term of three or four letters, one of which the word shows as a digit or a sign."""
+        signs = [i for i, c in enumerate(word) if not SIGN.match(c)]
+        if len(signs) == 1:
+            i = signs[0]
+            for k, term in enumerate(self.terms):
+                if len(term) == len(word) and term[:i] == word[:i] and term[i + 1 :] == word[i + 1 :]:
+                    return 1, k
+        return None
+
     def hits(self, text: str) -> tuple[list[str], list[tuple[int, float, int]]]:
         """Words of a text, and (place, weight, edits) of those that spell a term."""
         tokens = TOKEN.findall(text.lower())
@@ -179,10 +213,15 @@ class Lexicon:
         if not hits:
             return [0.0] * 7 + [np.log1p(n)]
         quoted_places: set[int] = set()
-        if QUOTED.search(text):
-            for m in QUOTED.finditer(text):
-                a = len(TOKEN.findall(text[: m.start()].lower()))
-                quoted_places.update(range(a, a + len(TOKEN.findall(m.group().lower()))))
+        low = text.lower()
+        begins, ends = quotations(low)
+        if begins:
+            wanted = {i for i, _, _ in hits}
+            for i, m in enumerate(TOKEN.finditer(low)):
+                if i in wanted:
+                    q = bisect_right(begins, m.start()) - 1
+                    if q >= 0 and m.start() < ends[q]:
+                        quoted_places.add(i)
         abuse = quoted = misspelled = address = best = 0.0
         lo = 0
         places = [h[0] for h in hits]
@@ -244,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         for batch in passes(batches):
             seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update({w for w in TOKEN.findall((text or "").lower()) if 3 <= len(w) <= 40})
+                seen[y].update({w for w in TOKEN.findall((text or "").lower()) if len(w) >= 3})
             vocabulary = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(vocabulary, pa.string()), *(pa.array([seen[y][w] for w in vocabulary], pa.int64()) for y in (1, 0))],

@@ -46,6 +46,21 @@ def test_misspellings_and_quotation():
     assert abuse[3] > quote[3] and lexicon.features("")[:7] == [0.0] * 7
 
 
+def test_letters_as_digits_long_quotations_and_long_texts():
+    import time
+
+    lexicon = toxicity.Lexicon(["idiot", "moron", "scum"], [4.0, 4.0, 4.0])
+    assert [h[0] for h in lexicon.hits("an id1ot, a mor0n and sc*m; 1diot")[1]] == [1, 3, 5, 6]
+    assert lexicon.hits("scam sum 12 a1b")[1] == []
+    far = "“first line\n" + "word " * 300 + "idiot” it went on"
+    assert lexicon.features(far)[0] == 0 < lexicon.features(far)[1]
+    assert lexicon.features('never "closed idiot')[1] == 0
+    assert toxicity.quotations('a "b" «c» “d” „e“ "f') == ([2, 6, 10, 14], [5, 9, 13, 17])
+    start = time.time()
+    lexicon.features('he "idiot" and ' * 100_000)
+    assert time.time() - start < 20
+
+
 def labelled(spark, kind):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
