@@ -16,6 +16,7 @@ from gridloom.operators import losses as L
 from gridloom.operators import matrix as M
 from gridloom.operators.knn import knn_within
 from gridloom.operators.neighbours import knn_vectors
+from gridloom.operators.numbering import position_in_group
 from gridloom.session import cut_lineage
 
 # --- vectors and clusters -------------------------------------------------------
@@ -104,6 +105,24 @@ def m_cluster_vectors(t):
     return found.select("id", (F.col("cluster").between(-1, top) & F.lit(dense)).alias("labelled"))
 
 
+@query(
+    "m_louvain_planted",
+    """SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY n_regionkey) AS community FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def m_louvain_planted(t):
+    """Suppliers tied to others of their region, and weakly to the next supplier: communities are the regions."""
+    nations = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
+    placed = position_in_group(t.supplier.select("s_suppkey", "s_nationkey").join(nations, "s_nationkey"), "region", "s_suppkey", "at")
+    stepped = placed.withColumn("step", F.explode(F.array(*[F.lit(x) for x in (1, 2, 5, 9, 14, 20, 31, 47)])))
+    ahead = stepped.select("region", F.col("s_suppkey").alias("src"), F.pmod(F.col("at") + F.col("step"), F.col("at_of")).alias("at"))
+    strong = ahead.join(placed.select("region", "at", F.col("s_suppkey").alias("dst")), ["region", "at"]).where("src <> dst")
+    count = t.supplier.agg(F.count(F.lit(1))).scalar()
+    weak = t.supplier.select(F.col("s_suppkey").alias("src"), F.pmod(F.col("s_suppkey") + 1, count).alias("dst"))
+    edges = strong.select("src", "dst", F.lit(1.0).alias("weight")).unionByName(weak.withColumn("weight", F.lit(0.05)))
+    found = C.louvain(edges)
+    return found.select("id", F.min("id").over(Window.partitionBy("community")).alias("community"))
+
+
 @query(
     "w_relabel_by_size",
     """SELECT p_partkey AS id, CAST(CASE WHEN n <= 75 THEN -1 ELSE rk END AS INT) AS cluster FROM part JOIN

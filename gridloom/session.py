@@ -76,13 +76,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from there.
 
     A written table is computed once, survives the loss of executors, and carries its
     real size - an iterated ``checkpoint()`` keeps multiplying the size estimates of
-    the plan it replaced.
+    the plan it replaced.  ``replaces`` is a table of an earlier call that nothing needs
+    once this one is written; its folder is deleted.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._gridloom_path = path
+    spent = getattr(replaces, "_gridloom_path", None)
+    if spent:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(spent)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return written
