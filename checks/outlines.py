@@ -98,6 +98,18 @@ def g_shape_metrics(t):
     return m.select("cell_id", *[r(c).alias(c) for c in O.SHAPE_COLUMNS])
 
 
+@query(
+    "m_morphology_embedding",
+    with_(POLYGONS)
+    + """SELECT cell_id, CAST(dim AS INT) AS dim, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) + 0 AS value FROM (
+      SELECT cell_id, unnest([0, 1, 2, 3]) AS dim, unnest([area, CASE cell_id % 2 WHEN 0 THEN 1.0::DOUBLE ELSE 2 / 1.5::DOUBLE END, 1.0::DOUBLE,
+        CASE cell_id % 2 WHEN 0 THEN 2.625::DOUBLE / 1.015625 ELSE 1.5::DOUBLE / 1.5625 END]) AS value FROM areas)""",
+)
+def m_morphology_embedding(t):
+    found = O.morphology_embedding(t.polygons).select("cell_id", F.posexplode("embedding").alias("dim", "value"))
+    return found.withColumn("value", r("value", 4))
+
+
 @query("g_valid_rings", with_(POLYGONS) + "SELECT cell_id, TRUE AS valid FROM placed")
 def g_valid_rings(t):
     return t.polygons.select("cell_id", O.is_valid(F.col("ring")).alias("valid"))

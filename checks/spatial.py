@@ -9,7 +9,8 @@ from gridloom.functions import geometry as G
 from gridloom.operators import graph as GR
 from gridloom.operators import tiling as TL
 from gridloom.operators.buffered_counts import buffered_counts, expression_matrix, point_regions
-from gridloom.operators.knn import knn, knn_within, neighbour_edges, neighbour_lists
+from gridloom.operators.knn import knn, knn_within, neighbour_edges, neighbour_lists, uniform_candidates
+from gridloom.operators.numbering import encode
 from gridloom.operators.packing import pack_tiles, tile_weights
 from gridloom.operators.spatial_join import (
     assign_points_to_polygons,
@@ -17,6 +18,7 @@ from gridloom.operators.spatial_join import (
     polygons_in_polygons,
     prediction_candidates,
 )
+from gridloom.session import cut_lineage
 
 # --- points and polygons --------------------------------------------------------
 
@@ -194,13 +196,26 @@ def w_neighbour_lists(t):
         FROM (SELECT b.cell_id, e.row_index, (b.cx - e.x) * (b.cx - e.x) + (b.cy - e.y) * (b.cy - e.y) AS d FROM placed b, ev e) b) WHERE rank <= 3""",
 )
 def j_knn_unbounded(t):
+    return knn(t.event_points, _centres(t), 3).select("src", "dst", "rank")
+
+
+def _centres(t):
     key = F.col("s_suppkey")
-    centres = t.supplier.select(
+    return t.supplier.select(
         key.alias("cell_id"),
         (F.lit(30) + F.pmod(key * 37, F.lit(100)) * 10).cast("double").alias("x"),
         (F.lit(1100) + F.pmod(key * 53, F.lit(100)) * 25).cast("double").alias("y"),
     )
-    return knn(t.event_points, centres, 3).select("src", "dst", "rank")
+
+
+@query(
+    "j_uniform_candidates",
+    with_(EVENTS, POLYGONS)
+    + """SELECT row_index AS src, cell_id AS dst FROM (SELECT b.cell_id, e.row_index, row_number() OVER (PARTITION BY b.cell_id
+        ORDER BY (b.cx - e.x) * (b.cx - e.x) + (b.cy - e.y) * (b.cy - e.y), e.row_index) AS rank FROM placed b, ev e) WHERE rank <= 5""",
+)
+def j_uniform_candidates(t):
+    return uniform_candidates(t.event_points, _centres(t), 5, cell="cell_id")
 
 
 # --- tilings --------------------------------------------------------------------
@@ -409,6 +424,39 @@ def j_induced_edges(t):
     return GR.induced_edges(knn_within(points, 5, 5.0).select("src", "dst"), context, context)
 
 
+@query(
+    "p_check_partition",
+    with_(EVENTS, _EXTENT, _TREE, _LABELLED) + "SELECT tile_id, count(*) AS n FROM lab GROUP BY 1",
+)
+def p_check_partition(t):
+    """Sizes of partitions that passed the check: every node labelled once, no label without a node."""
+    labels = cut_lineage(_labels(t))
+    GR.check_partition(t.event_points.select(F.col("row_index").alias("id")), labels)
+    return labels.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "p_node_attribute",
+    with_(EVENTS, _EXTENT, _TREE, _LABELLED)
+    + """SELECT lab.id, tile_id, value FROM lab LEFT JOIN (SELECT event_id AS id, value FROM events WHERE event_type <> 'click') USING (id)""",
+)
+def p_node_attribute(t):
+    """An attribute table that lacks some nodes, joined to partitioned nodes."""
+    values = t.events.where("event_type <> 'click'").select(F.col("event_id").alias("id"), "value")
+    return GR.add_node_attribute(_labels(t), values)
+
+
+@query(
+    "j_training_polygons",
+    with_(POLYGONS)
+    + """SELECT cell_id, CAST(row_number() OVER (ORDER BY cell_id) - 1 AS INT) AS cell_encoding, CAST(cell_id % 3 AS INT) AS cell_cluster,
+      CASE WHEN cell_id % 2 = 0 THEN 6 ELSE 4 END AS vertices FROM placed""",
+)
+def j_training_polygons(t):
+    cells = encode(t.polygons, "cell_id", "cell_encoding").withColumn("cluster", F.pmod("cell_id", F.lit(3)))
+    return GR.training_polygons(t.polygons, cells).select("cell_id", "cell_encoding", "cell_cluster", F.size("ring").alias("vertices"))
+
+
 @query(
     "p_fetch_partition",
     "SELECT user_id AS tile_id, event_id FROM events WHERE user_id = (SELECT max(user_id) FROM events)",

@@ -138,6 +138,12 @@ def knn(
     return _finish(keyed_join(asked, _top_k(found, ["qx", "qy"], k), ["qx", "qy"]))
 
 
+def uniform_candidates(points: DataFrame, cells: DataFrame, k: int, *, cell: str = "cell_encoding") -> DataFrame:
+    """Candidate edges ``(src, dst)`` from each of the ``k`` points nearest to a cell's centre to the cell."""
+    hits = knn(points, cells.select(cell, "x", "y"), k, query_ident=cell)
+    return hits.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def _refined(start: DataFrame, candidates: DataFrame, k: int, side: float, max_window: int) -> DataFrame:
     """Pairs ``(qx, qy, dst, cx, cy, d2)`` that include every true neighbour.
 

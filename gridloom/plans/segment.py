@@ -20,7 +20,7 @@ from gridloom.operators.assignment import assign, predict, score_edges
 from gridloom.operators.clustering import cluster_similarity, cluster_vectors
 from gridloom.operators.embedding import cell_embedding, gene_embedding
 from gridloom.operators.graph import induced_edges, partition_edges, reference_edges, training_points, typed_edges
-from gridloom.operators.knn import knn, knn_within
+from gridloom.operators.knn import knn_within, uniform_candidates
 from gridloom.operators.matrix import (
     cell_totals,
     centroids,
@@ -120,13 +120,7 @@ def build_edges(points: DataFrame, polygons: DataFrame, cells: DataFrame, config
     near = knn_within(points, config.transcripts_graph_max_k, config.transcripts_graph_max_dist).select("src", "dst")
     belongs = reference_edges(points, config.segmentation_graph_mode)
     if config.prediction_graph_mode == "uniform":
-        hits = knn(
-            points,
-            cells.select("cell_encoding", "x", "y"),
-            config.prediction_graph_max_k,
-            query_ident="cell_encoding",
-        )
-        candidates = hits.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        candidates = uniform_candidates(points, cells, config.prediction_graph_max_k)
     else:
         kept = polygons.where(F.col("boundary_type") == config.prediction_graph_mode)
         kept = kept.join(cells.select("cell_id", "cell_encoding"), "cell_id")
