@@ -32,14 +32,14 @@ SCALE = 2_000_000
 #: Numbers along a tile's side; pairs of a batch that make a tile dense; dense tiles and sparse pairs that a task holds.
 SIDE = 256
 DENSE_PAIRS = SIDE * SIDE // 16
-HELD_TILES = 64
-HELD_PAIRS = 500_000
+HELD_TILES = 48
+HELD_PAIRS = 300_000
 #: Pairs that are counted in one go.
-PAIRS = 1 << 17
+PAIRS = 1 << 16
 #: Rows of a lookup table that is broadcast (16 bytes each).
 LOOKUP_ROWS = 4_000_000
 #: Numbers of one stored sequence, from which on it ends at the next gap.
-CHUNK = 1 << 12
+CHUNK = 1 << 10
 PASS_BYTES = 1 << 20
 
 GAP = -1
