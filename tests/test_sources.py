@@ -269,3 +269,56 @@ def test_configs_and_command_line():
         ExportConfig(elements=("plots",))
     args = build_parser().parse_args(["export", "--elements", "matrix", "--min-similarity", "0.5", "--include-all-transcripts"])
     assert args.elements == ["matrix"] and args.min_similarity == 0.5 and args.include_all_transcripts
+
+
+def test_bounds_come_from_footers(spark, tmp_path):
+    data = [(i, float(i % 97) - 3, float(i) / 7) for i in range(2000)]
+    df = spark.createDataFrame(data, "id long, x double, y double")
+    path = str(tmp_path / "p.parquet")
+    df.repartition(3).write.parquet(path)
+    row, plan = tables.footer_bounds(spark, path, "x", "y")
+    assert "PushedAggregation: [MIN(x), MIN(y), MAX(x), MAX(y)]" in plan
+    want = (-3.0, 0.0, 93.0, 1999 / 7)
+    assert tuple(row) == want and tuple(tables.xy_bounds(spark, path, "x", "y").first()) == want
+    import pyarrow.parquet as pq
+
+    (tmp_path / "bare").mkdir()
+    pq.write_table(df.toArrow(), str(tmp_path / "bare" / "a.parquet"), write_statistics=False)
+    assert tables.footer_bounds(spark, str(tmp_path / "bare"), "x", "y")[0] is None
+    assert tuple(tables.xy_bounds(spark, str(tmp_path / "bare"), "x", "y").first()) == want
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_polygons_are_written_in_space_order(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    places = rng.uniform(0, 1000, (3000, 2))
+    data = [(i, [(float(x), float(y)), (float(x) + 2, float(y)), (float(x), float(y) + 2)]) for i, (x, y) in enumerate(places)]
+    polygons = spark.createDataFrame(data, "cell_id long, ring array<struct<x:double,y:double>>").repartition(4)
+    path = str(tmp_path / "shapes.parquet")
+    # Few rows would be put into one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        tables.write_polygons(polygons, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    region = (100.0, 100.0, 250.0, 200.0)
+    got = sorted(r["cell_id"] for r in tables.read_polygons_in(spark, path, region).collect())
+    assert got == [i for i, (x, y) in enumerate(places) if x <= 250 and x + 2 >= 100 and y <= 200 and y + 2 >= 100]
+    # Files are ranges of the curve: few of them can hold anything of a small region.
+    boxes = []
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        at = {meta.schema.column(c).name: c for c in range(meta.num_columns) if meta.schema.column(c).name.startswith("bbox_")}
+        for g in range(meta.num_row_groups):
+            stat = {n: meta.row_group(g).column(c).statistics for n, c in at.items()}
+            boxes.append((stat["bbox_x_min"].min, stat["bbox_y_min"].min, stat["bbox_x_max"].max, stat["bbox_y_max"].max))
+    met = [b for b in boxes if b[0] <= 250 and b[2] >= 100 and b[1] <= 200 and b[3] >= 100]
+    assert len(boxes) >= 4 and len(met) <= len(boxes) // 2
+    tables.write_polygons(polygons.limit(0), str(tmp_path / "none.parquet"))
+    assert tables.read_polygons_in(spark, str(tmp_path / "none.parquet"), region).count() == 0
