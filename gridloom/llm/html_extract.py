@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.html_blocks import NOISE_WORDS, OWN_BITS, PATH_BITS, TEXT_WORDS, Block, blocks_of
+from gridloom.llm.html_blocks import NOISE_WORDS, OWN_BITS, PATH_BITS, Block, blocks_of
 from gridloom.llm.text import NOT_ALNUM, SpanHash, fresh, passes, require, words
 
 WORD_BUCKETS = 128
@@ -33,9 +33,6 @@ LAYOUTS = 5
 PASS_BYTES = 2 << 20
 PLACES = 9
 
-FLAT = np.ndarray
-
-
 # --- vectors --------------------------------------------------------------------
 
 
@@ -251,7 +248,7 @@ def landmark(block: Block) -> float | None:
     return 0.0 if "header" in below else None
 
 
-MARKS = {"": 1.0, "": 0.0}
+MARKS = {"\ue000": 1.0, "\ue001": 0.0}
 
 #: Parts of pages: elements that may hold them, and class words (first: hardly ever without one of these).
 PARTS = {
@@ -291,13 +288,13 @@ class Layout:
         return mark + self.r.choice(self.long or self.short)
 
     def links(self, n: int) -> str:
-        r, mark = self.r, ""
+        r, mark = self.r, "\ue001"
         items = [f'<a href="/{i}">{self.some(mark, r.randint(1, 4))}</a>' for i in range(n)]
         shape = r.random()
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if shape < 0.6 else "".join(f"<div>{x}</div>" for x in items) if shape < 0.8 else " | ".join(items)
 
     def part(self, kind: str) -> str:
-        r, no = self.r, ""
+        r, no = self.r, "\ue001"
         names, classes = PARTS[kind]
         name, cls = r.choice(names), r.choice(classes)
         if name in ("nav", "footer", "aside", "form") and r.random() < 0.35:
@@ -325,7 +322,7 @@ class Layout:
         return self.tag("div" if name == "ins" else name, inside, cls)
 
     def paragraphs(self) -> str:
-        r, yes = self.r, ""
+        r, yes = self.r, "\ue000"
         out = []
         for _ in range(r.randint(1, 8)):
             shape = r.random()
@@ -349,7 +346,7 @@ class Layout:
         r = self.r
         head = [self.part(k) for k in ("notice", "header", "menu", "crumbs", "advert", "form", "share") if r.random() < 0.45]
         tail = [self.part(k) for k in ("share", "related", "comments", "advert", "side", "form", "pager", "footer", "notice") if r.random() < 0.45]
-        title = self.tag(r.choice(("h1", "h1", "h2")), self.some("", r.randint(2, 9)))
+        title = self.tag(r.choice(("h1", "h1", "h2")), self.some("\ue000", r.randint(2, 9)))
         if r.random() < 0.2:
             title = f"<header>{title}</header>"
         inner = (title if r.random() < 0.8 else "") + self.paragraphs()
