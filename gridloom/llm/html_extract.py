@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm.html_blocks import NOISE_WORDS, OWN_BITS, PATH_BITS, Block, blocks_of
-from gridloom.llm.text import NOT_ALNUM, SpanHash, fresh, passes, require, words
+from gridloom.llm.text import NOT_ALNUM, SpanHash, passes, require, words
 
 WORD_BUCKETS = 128
 MEASURES = 9
@@ -414,25 +415,26 @@ def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
     ``text`` is the blocks labelled as main text, in page order, joined by one space.  A null, empty or
     text-free page has an empty text.  Without a model (no page to learn from) every block is kept.  Very
     long pages are passes of their own.  Repeated rows and null ids: each row for itself.  Empty table: no
-    rows.  Other columns are kept; a column named like a new one is an error.  One pass, no shuffle.
+    rows.  Other columns are kept; a column named like a new one is replaced.  One pass, no shuffle.
     """
     require(pages, "html")
-    fresh(pages, "text", "n_chars", "n_blocks", "n_kept")
     shared = pages.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # some 300 KB
-    names = [c for c in pages.columns if c != "html"]
-    at = pages.columns.index("html")
+    names = [c for c in pages.columns if c not in ("html", "text", "n_chars", "n_blocks", "n_kept")]
+    kept = pages.select("html", *[F.col(f"`{c}`") for c in names])
+    # Names with dots are no arguments of an Arrow function.
+    plain = kept.toDF("html", *[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller: Labeller | None = pickle.loads(shared.value)
         for batch in passes(batches, "html", PASS_BYTES):
-            found = [blocks_of(h) for h in batch.column(at).to_pylist()]
+            found = [blocks_of(h) for h in batch.column(0).to_pylist()]
             x = encode(found)
             keep = labeller.forward(x)[0].round(PLACES) >= 0.5 if labeller and x.rows[-1] else np.ones(int(x.rows[-1]), bool)
             texts = [" ".join(b.text for b, k in zip(blocks, keep[a:]) if k) for blocks, a in zip(found, x.rows)]
             total = np.concatenate([[0], np.cumsum(keep)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(i) for i in range(batch.num_columns) if i != at),
+                    *(batch.column(i) for i in range(1, batch.num_columns)),
                     pa.array(texts, pa.string()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(np.diff(x.rows), pa.int64()),
@@ -441,8 +443,7 @@ def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
                 [*names, "text", "n_chars", "n_blocks", "n_kept"],
             )
 
-    fields = [f for f in pages.schema.fields if f.name != "html"]
-    schema = pages.select(*[f"`{f.name}`" for f in fields]).schema
+    schema = StructType(kept.schema.fields[1:])
     for name, kind in (("text", "string"), ("n_chars", "long"), ("n_blocks", "long"), ("n_kept", "long")):
         schema = schema.add(name, kind)
-    return pages.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)

@@ -308,7 +308,8 @@ def test_html_of_odd_tables(llm, labeller):
     assert html_extract.learn(pages.limit(0)) is None and html_extract.learn(pages.where("html IS NULL")) is None
     assert [r["text"] for r in html_extract.extract(pages.where("page_id = 3"), None).collect()] == ["plain text"]
     assert html_extract.extract(pages.limit(0), labeller).count() == 0
-    with pytest.raises(ValueError):
-        html_extract.extract(pages.withColumnRenamed("url", "text"), labeller)
+    clashing = html_extract.extract(pages.withColumnRenamed("url", "text").withColumn("a.b", pages["page_id"]), labeller)
+    assert clashing.columns == ["page_id", "a.b", "text", "n_chars", "n_blocks", "n_kept"]
+    assert sorted(r[2] for r in clashing.collect()) == sorted(r["text"] for r in got)
     small = html_extract.learn(pages)
     assert html_extract.extract(pages, small).count() == 6
