@@ -105,6 +105,21 @@ def test_polygon_pairs_of_very_different_sizes(spark):
     assert rows(polygons_in_polygons(q, i, "contains")) == [(0, 0), (1, 0), (1, 1)]
 
 
+def test_polygon_pairs_of_a_crowded_place_are_formed_in_blocks(spark):
+    sides = np.concatenate([np.arange(1, 401), [400, 399]])
+    rings = [[(-s, -s), (s, -s), (s, s), (-s, s)] for s in sides]
+    rings.append([(-500, -500), (500, -500), (500, 500), (0, -499), (-500, 500)])
+    polygons = polygon_df(spark, *rings)
+    pairs = {p: polygons_in_polygons(polygons, polygons, p) for p in ("contains", "intersects")}
+    inside = {(a, b) for a in range(402) for b in range(402) if sides[a] <= sides[b]} | {(402, 402)}
+    assert sorted(tuple(r) for r in pairs["contains"].collect()) == sorted(inside)
+    # The last ring's notch holds the squares whose sides stay under (499 - s) / 2.
+    met = 402 * 402 + 1 + 2 * int((2 * sides > 499 - sides).sum())
+    assert pairs["intersects"].count() == met == pairs["intersects"].distinct().count()
+    # No ring rides on a pair: rings meet as lists, and pairs come out of an array operation.
+    assert all("MapInArrow" in p._jdf.queryExecution().executedPlan().toString() for p in pairs.values())
+
+
 @pytest.mark.parametrize("window", [4096, 8])
 @pytest.mark.parametrize("closed", [False, True])
 def test_knn_radius_matches_brute_force(spark, window, closed):
