@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import owns_region
-from gridloom.operators.spatial_join import points_in_polygons
+from gridloom.operators.spatial_join import count_points_in_polygons
 from gridloom.operators.tiling import quadtree_leaves, region_shape
 from gridloom.schemas import MetricColumns
 
@@ -20,8 +20,8 @@ def inside_open_box(x: Column, y: Column, bounds: Box) -> Column:
 
 def expression_matrix(points: DataFrame, polygons: DataFrame, *, label: str = "feature_name", **kwargs) -> DataFrame:
     """``(cell_id, <label>, n)`` of points strictly inside each polygon."""
-    pairs = points_in_polygons(points, polygons, "contains", carry=(label,), **kwargs)
-    return pairs.groupBy(F.col("index_match").alias("cell_id"), label).agg(F.count(F.lit(1)).alias("n"))
+    counts = count_points_in_polygons(points, polygons, label, "contains", **kwargs)
+    return counts.select(F.col("index_match").alias("cell_id"), label, "n")
 
 
 def buffered_counts(

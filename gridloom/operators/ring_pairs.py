@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from gridloom.operators.blocks import PAIRS_AT_ONCE, lists, ragged, slices
+from gridloom.operators.blocks import PAIRS_AT_ONCE, listed, lists, ragged, slices
 
 #: A place this near to a ring is on it.
 NEAR = 1e-9
@@ -201,12 +201,3 @@ def ring_pairs(predicate: str, q_box: tuple[str, ...], i_box: tuple[str, ...]):
                     yield listed([q_ids], q, i_ids, i)
 
     return run
-
-
-def listed(keys: list[pa.Array], at: np.ndarray, ids: pa.Array, match: np.ndarray) -> pa.RecordBatch:
-    """Hits in order of ``at`` as one row per ``at`` with the list of its matches."""
-    begin = np.flatnonzero(np.diff(at, prepend=-1))
-    offs = pa.array(np.append(begin, len(at)).astype(np.int32))
-    found = pa.ListArray.from_arrays(offs, ids.take(pa.array(match)))
-    names = [f"_key{n}" for n in range(len(keys))]
-    return pa.RecordBatch.from_arrays([k.take(pa.array(at[begin])) for k in keys] + [found], [*names, "_matches"])

@@ -246,6 +246,27 @@ def test_clipped_cells_give_what_whole_rings_give(spark, predicate, grown):
     assert {tuple(r) for r in pairs.collect()} == want and pairs.count() == len(want)
 
 
+def test_crowded_cells_are_counted_and_listed_in_blocks(spark):
+    from gridloom.operators.spatial_join import assign_points_to_polygons, count_points_in_polygons
+
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.uniform(-3, 9, (6000, 2)), [[100.0, 100.0], [0.0, 0.0]]])
+    rings = [[(c, c), (c + s, c), (c + s, c + s), (c, c + s)] for c, s in zip(rng.integers(-2, 3, 40), rng.integers(1, 7, 40))]
+    kind = [None if i % 7 == 0 else f"g{i % 5}" for i in range(len(xy))]
+    pts = spark.createDataFrame([(i, float(a), float(b), k) for i, ((a, b), k) in enumerate(zip(xy, kind))], "row_index long, x double, y double, kind string")
+    want = [(i, j) for i, (a, b) in enumerate(xy) for j, r in enumerate(rings) if r[0][0] < a < r[2][0] and r[0][1] < b < r[2][1]]
+    counts = {}
+    for i, j in want:
+        counts[j, kind[i]] = counts.get((j, kind[i]), 0) + 1
+    polygons = polygon_df(spark, *rings)
+    found = count_points_in_polygons(pts, polygons, "kind")
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == counts
+    placed = [tuple(r) for r in assign_points_to_polygons(pts.select("row_index", "x", "y"), polygons).select("row_index", "boundaries_id").collect()]
+    closed = [(i, j) for i, (a, b) in enumerate(xy) for j, r in enumerate(rings) if r[0][0] <= a <= r[2][0] and r[0][1] <= b <= r[2][1]]
+    free = set(range(len(xy))) - {i for i, _ in closed}
+    assert sorted(placed, key=str) == sorted([*closed, *((i, None) for i in free)], key=str)
+
+
 def test_inside_cells_carry_no_edges(spark):
     from gridloom.operators.clipped import clip
 
