@@ -82,6 +82,21 @@ def test_louvain_fails_at_its_limits(spark):
     assert C._vertex_modularity(C._undirected(graph), 1.0) == pytest.approx(C.modularity(graph, singles))
 
 
+def test_louvain_settles_in_few_rounds_and_in_many_blocks(spark, monkeypatch):
+    # Four rounds are too few where vertices move against their neighbours as they were.
+    n = 300
+    edges = [(i, (i + step) % n, 1.0) for i in range(n) for step in (1, 2, 5, 9, 14)]
+    graph = spark.createDataFrame(edges, "src long, dst long, weight double")
+    both = C.cut_lineage(C._undirected(graph))
+    one = C._local_moves(both, 2.0 * len(edges), 1.0, 4, 0).collect()
+    assert len(one) == n and len({r["c"] for r in one}) < n / 4
+    # Dealt to many blocks it settles too, and no worse by much.
+    monkeypatch.setattr(C, "BLOCK_LINKS", 700)
+    many = C._local_moves(both, 2.0 * len(edges), 1.0, 100, 0)
+    reached = [C.modularity(graph, spark.createDataFrame([(r["id"], r["c"]) for r in x], "id long, community long")) for x in (one, many.collect())]
+    assert reached[1] > reached[0] - 0.1
+
+
 def test_relabel_boundary_size(spark):
     df = spark.createDataFrame([(i, "a") for i in range(5)] + [(9, "b"), (10, "b"), (11, "c")], "id long, community string")
     got = dict(rows(C.relabel_by_size(df, 2)))
