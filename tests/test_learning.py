@@ -12,7 +12,7 @@ from gridloom.operators import encoder as EN
 from gridloom.operators import losses as L
 from gridloom.operators import matrix as M
 from gridloom.operators import packing as PK
-from gridloom.operators.neighbours import knn_vectors
+from gridloom.operators.neighbours import knn_vectors, nearest_rows, pairwise_squared
 from gridloom.operators.sampling import sample_per_group, split_tiles
 from tests.conftest import rows
 
@@ -31,6 +31,33 @@ def test_knn_vectors_with_duplicates_and_small_blocks(spark):
             assert [x for _, x in sorted(got[i])] == want
 
 
+def test_nearest_rows_are_those_of_exact_differences():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8))
+    many = np.concatenate([base, base, base + 1e-9, base + 1e5])[rng.permutation(160)]
+    for a, b in ((many[:50], many), (many * 1e-30, many * 1e-30), (base, base[:3]), (base[:1] * 0, base * 0)):
+        d2 = pairwise_squared(a, b)
+        order = np.argsort(d2, axis=1, kind="stable")[:, :6]
+        at, to, near = nearest_rows(a, b, 6)
+        assert np.array_equal(to.reshape(order.shape), order) and np.array_equal(at, np.repeat(np.arange(len(a)), order.shape[1]))
+        assert np.array_equal(near, np.take_along_axis(d2, order, axis=1).ravel())
+
+
+def test_knn_vectors_sends_a_query_once_to_neighbouring_groups(spark, monkeypatch):
+    from gridloom.operators import neighbours as NB
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    written, cut = [], NB.cut_lineage
+    monkeypatch.setattr(NB, "cut_lineage", lambda x: written.append(cut(x)) or written[-1])
+    want = np.argsort(pairwise_squared(v, v), axis=1, kind="stable")[:, :5]
+    for block_rows, most in ((16384, 600), (150, 600 * 12)):
+        got = {(r["src"], r["rank"]): r["dst"] for r in knn_vectors(df, 5, n_pivots=24, block_rows=block_rows).collect()}
+        assert got == {(i, j + 1): want[i, j] for i in range(600) for j in range(5)}
+        assert written[-1].count() <= most
+
+
 def test_louvain_finds_planted_groups(spark):
     rng = np.random.default_rng(1)
     edges = []
