@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import cosine
 from gridloom.operators.skew import keyed_join
 from gridloom.operators.thresholds import backfill_thresholds, gene_thresholds, li_thresholds, yen_thresholds  # noqa: F401
+from gridloom.operators.vector_pairs import blocks_pay, measure_pairs
 from gridloom.session import cut_lineage
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    length = [np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), 1e-8) for m in (a, b)]
+    return np.einsum("ij,ij->i", a, b) / (length[0] * length[1])
+
+
 def score_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Add ``similarity``, the cosine of the two ends.  Ends are ``(id, embedding)``.
 
-    A cell that many candidates point at is spread over several tasks.
+    A cell that many candidates point at is spread over several tasks.  Where candidates are many for the vectors,
+    these travel in blocks (``vector_pairs``), not on the edges.
     """
+    if set(edges.columns) == {"src", "dst"}:
+        edges = cut_lineage(edges)
+        if blocks_pay(edges.count(), src.count(), dst.count()):
+            return measure_pairs(edges, src, dst, _cosines, "similarity").select("dst", "src", "similarity")
     a = src.select(F.col("id").alias("src"), F.col("embedding").alias("_a"))
     b = dst.select(F.col("id").alias("dst"), F.col("embedding").alias("_b"))
     joined = edges.join(a, "src")

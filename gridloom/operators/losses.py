@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from gridloom.functions.vectors import cosine, distance, dot
 from gridloom.operators.numbering import position_in_group
 from gridloom.operators.sampling import uniform
 from gridloom.operators.skew import keyed_join
+from gridloom.operators.vector_pairs import blocks_pay, measure_pairs
+from gridloom.session import cut_lineage
 
 
 def cluster_cdf(similarity: DataFrame, present: DataFrame, negative: bool = False) -> DataFrame:
@@ -119,6 +122,15 @@ def shifted_negatives(edges: DataFrame, n_dst: int, seed: int = 0) -> DataFrame:
     return edges.withColumn("neg", F.pmod(F.col("dst") + step, F.lit(n_dst)).cast("long"))
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    apart = a - b
+    return np.sqrt(np.einsum("ij,ij->i", apart, apart))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
 def segmentation_loss(
     edges: DataFrame, src: DataFrame, dst: DataFrame, n_dst: int, kind: str = "triplet", margin: float = 0.4, seed: int = 0
 ) -> DataFrame:
@@ -131,20 +143,39 @@ def segmentation_loss(
     if n_dst <= 1:
         return edges.sparkSession.range(1).select(F.lit(0.0).alias("loss"))
     full = shifted_negatives(edges.select("src", "dst"), n_dst, seed)
-    full = full.join(src.select(F.col("id").alias("src"), F.col("embedding").alias("_a")), "src")
-    for end, name in (("dst", "_p"), ("neg", "_n")):
-        side = dst.select(F.col("id").alias(end), F.col("embedding").alias(name))
-        full = keyed_join(full, side, [end])
-    a, p, n = F.col("_a"), F.col("_p"), F.col("_n")
+    full = cut_lineage(full.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("neg").isNotNull()))
+    if blocks_pay(2 * full.count(), src.count(), dst.count()):
+        # Equal edges draw equal negatives, so one group is one edge and its copies.
+        both = full.select("src", "dst", F.col("dst").alias("edge"), F.lit(True).alias("own")).unionByName(
+            full.select("src", F.col("neg").alias("dst"), F.col("dst").alias("edge"), F.lit(False).alias("own"))
+        )
+        measured = measure_pairs(both, src, dst, _distances if kind == "triplet" else _dots, "m")
+        own = F.col("own")
+        full = measured.groupBy("src", "edge").agg(
+            F.max(F.when(own, F.col("m"))).alias("mp"),
+            F.max(F.when(~own, F.col("m"))).alias("mn"),
+            F.count_if(own).alias("copies"),
+            F.count_if(~own).alias("drawn"),
+        )
+        full, p, n = full.where("copies > 0 AND drawn > 0"), F.col("mp"), F.col("mn")
+    else:
+        full = full.join(src.select(F.col("id").alias("src"), F.col("embedding").alias("_a")), "src")
+        for end, name in (("dst", "_p"), ("neg", "_n")):
+            side = dst.select(F.col("id").alias(end), F.col("embedding").alias(name))
+            full = keyed_join(full, side, [end])
+        meet = distance if kind == "triplet" else dot
+        full = full.withColumn("copies", F.lit(1))
+        p, n = meet(F.col("_a"), F.col("_p")), meet(F.col("_a"), F.col("_n"))
     if kind == "triplet":
-        term = F.greatest(distance(a, p) - distance(a, n) + F.lit(margin), F.lit(0.0))
+        term = F.greatest(p - n + F.lit(margin), F.lit(0.0))
     else:
         # Stable log(1 + exp(z)).
         def softplus(z):
             return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
 
-        term = (softplus(-dot(a, p)) + softplus(dot(a, n))) / 2.0
-    return full.agg(F.coalesce(F.avg(term), F.lit(0.0)).alias("loss"))
+        term = (softplus(-p) + softplus(n)) / 2.0
+    total = F.sum(term * F.col("copies")) / F.sum(F.when(term.isNotNull(), F.col("copies")))
+    return full.agg(F.coalesce(total, F.lit(0.0)).alias("loss"))
 
 
 def scheduled_weights(start, end, epoch: int, n_epochs: int) -> list[float]:

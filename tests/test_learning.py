@@ -304,6 +304,33 @@ def test_losses_without_anchors_or_cells(spark):
         L.segmentation_loss(edges, empty, empty, 3, "hinge")
 
 
+def test_vectors_do_not_ride_on_pairs(spark, monkeypatch):
+    from gridloom.operators import vector_pairs as VP
+
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=(20, 4))
+    as_df = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    pairs = [(int(i), int(j)) for i, j in zip(rng.integers(0, 32, 900), rng.integers(0, 22, 900))]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    known = [(i, j) for i, j in pairs if i < 30 and j < 20]
+    args = (edges, as_df(a), as_df(b))
+    losses = [[L.segmentation_loss(*args, 20, kind).first()[0] for kind in ("triplet", "bce")]]
+    # Many blocks, cut cells; and the joins by id.
+    monkeypatch.setattr(VP, "BLOCK", 9)
+    monkeypatch.setattr(VP, "PAIRS", 40)
+    scored = A.score_edges(*args)
+    assert "FlatMapCoGroups" in scored._jdf.queryExecution().toString()
+    got = sorted((r["src"], r["dst"], r["similarity"]) for r in scored.collect())
+    cosines = [(i, j, a[i] @ b[j] / np.linalg.norm(a[i]) / np.linalg.norm(b[j])) for i, j in known]
+    assert [x[:2] for x in got] == sorted(known) and np.allclose([x[2] for x in got], [x[2] for x in sorted(cosines)])
+    losses.append([L.segmentation_loss(*args, 20, kind).first()[0] for kind in ("triplet", "bce")])
+    monkeypatch.setattr(A, "blocks_pay", lambda *_: False)
+    monkeypatch.setattr(L, "blocks_pay", lambda *_: False)
+    losses.append([L.segmentation_loss(*args, 20, kind).first()[0] for kind in ("triplet", "bce")])
+    assert np.allclose(losses[0], losses[2]) and np.allclose(losses[1], losses[2])
+    assert np.allclose([r["similarity"] for r in A.score_edges(*args).sort("src", "dst").collect()], [x[2] for x in got])
+
+
 def test_segmentation_losses_match_numpy(spark):
     rng = np.random.default_rng(5)
     a, c = rng.normal(size=(20, 4)), rng.normal(size=(5, 4))
