@@ -12,6 +12,7 @@ from gridloom.operators.buffered_counts import buffered_counts, expression_matri
 from gridloom.operators.knn import knn, knn_within, neighbour_edges, neighbour_lists, uniform_candidates
 from gridloom.operators.numbering import encode
 from gridloom.operators.packing import pack_tiles, tile_weights
+from gridloom.operators.skew import sized
 from gridloom.operators.spatial_join import (
     assign_points_to_polygons,
     points_in_polygons,
@@ -511,9 +512,11 @@ def p_pack_harmonic(t):
 )
 def p_negative_edges(t):
     """Drawn non-edges: none is an edge, none repeats, all ids exist."""
-    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    pairs = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    edges = cut_lineage(sized(pairs, pairs.count(), "src", "dst").distinct())
     drawn = GR.negative_edges(edges, 3.0)
-    known = edges.withColumn("_edge", F.lit(1))
+    # As many tasks as the draws have, so that these stay where they are.
+    known = sized(edges, 4 * edges.count(), "src", "dst").withColumn("_edge", F.lit(1))
     top = edges.agg(F.max("dst")).scalar()
     n_edges = edges.agg(F.count(F.lit(1))).scalar()
     return drawn.join(known, ["src", "dst"], "left").agg(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.sampling import uniform
-from gridloom.operators.skew import keyed_join
+from gridloom.operators.skew import keyed_join, sized
 from gridloom.operators.standardize import reference_mask
 
 # Null join keys are spread over this many values that match nothing.
@@ -150,13 +152,20 @@ def negative_edges(edges: DataFrame, ratio: float = 1.0, seed: int = 0) -> DataF
     """Non-edges drawn by hash, about ``ratio`` per positive edge.
 
     A draw keeps the source of a positive edge and takes a destination in
-    ``0..max(dst)``; draws that are edges, or repeat another draw, are left out.
+    ``0..max(dst)``; draws that are edges, or repeat another draw, are left out.  ``edges``
+    is read several times, so it should be a written table.
     """
     whole, part = int(ratio), ratio - int(ratio)
-    draws = edges.select("src", "dst").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(whole))))
+    edges = edges.select("src", "dst")
+    n_edges, top = edges.agg(F.count(F.lit(1)), F.max("dst")).first()
+    # What a task draws waits in its memory for the exchange; splits of a file would grow with the table.
+    edges = sized(edges, n_edges, "src", "dst")
+    draws = edges.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(whole))))
     draws = draws.where((F.col("_draw") < whole) | (uniform("src", "dst", seed=seed) < part))
-    n_dst = edges.agg(F.max("dst") + 1).scalar()
-    drawn = draws.select(
-        "src", F.pmod(F.xxhash64("src", "dst", "_draw", F.lit(seed)), n_dst).cast("long").alias("dst")
-    ).distinct()
-    return drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    n_dst = F.lit((top or 0) + 1)
+    drawn = draws.select("src", F.pmod(F.xxhash64("src", "dst", "_draw", F.lit(seed)), n_dst).cast("long").alias("dst"))
+    # Repeats and edges leave in one aggregation of draws and edges together; an edge without an end marks nothing.
+    marks = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).withColumn("_edge", F.lit(True))
+    both = drawn.withColumn("_edge", F.lit(False)).unionByName(marks)
+    once = sized(both, math.ceil(n_edges * (1 + ratio)), "src", "dst").groupBy("src", "dst").agg(F.bool_or("_edge").alias("_edge"))
+    return once.where(~F.col("_edge")).select("src", "dst")

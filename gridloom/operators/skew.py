@@ -9,8 +9,13 @@ would take that away, so there is none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
+# Rows that one task sorts or aggregates, about, where a step sizes its tasks itself.
+ROWS_PER_TASK = 1 << 19
+
 
 def keyed_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join, ``inner`` or ``left``; the exchanges on both sides stay Spark's own."""
@@ -19,6 +24,14 @@ def keyed_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
     return many.join(few, keys, how)
 
 
+def sized(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash partitions for a step on ``keys`` that takes ``rows`` rows in all: as many tasks as they need.
+
+    A fixed number of shuffle partitions would make the state of a task grow with the table.
+    """
+    return df.repartition(max(1, math.ceil(rows / ROWS_PER_TASK)), *keys)
+
+
 def is_broadcast_size(written: DataFrame) -> bool:
     """True where Spark would broadcast this table: its measured size is within the session's threshold.
 

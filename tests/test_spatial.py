@@ -211,6 +211,19 @@ def test_negative_edges_avoid_positives(spark):
     assert drawn.agg(F.max("dst")).first()[0] < 5
 
 
+def test_negative_edges_take_tasks_by_their_rows(spark, monkeypatch):
+    from gridloom.operators import skew
+
+    edges = spark.createDataFrame([(i, i % 5) for i in range(50)] + [(None, 3)], "src long, dst long")
+    plain = rows(GR.negative_edges(edges, 2.5))
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    drawn = GR.negative_edges(edges, 2.5)
+    assert rows(drawn) == plain
+    assert drawn.rdd.getNumPartitions() == 18
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def random_rings(rng, n):
     out = []
     for i in range(n):
