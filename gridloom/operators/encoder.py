@@ -12,11 +12,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import sinusoidal
+from gridloom.operators.blocks import lists
 from gridloom.operators.skew import keyed_join
 
 # Negative slope of the attention and width of the position code.
@@ -94,17 +95,24 @@ def initial_weights(
     return weights
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    _, values = lists(column)
+    return np.asarray(values, float).reshape(len(column), -1)
+
+
+def _vectors(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * np.int32(m.shape[1])), pa.array(m.ravel()))
+
+
 def _dense(df: DataFrame, source: str, target: str, w: np.ndarray, b: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((w, b))
 
-    @F.pandas_udf("array<double>")
-    def apply(v: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def apply(v: pa.Array) -> pa.Array:
         weight, bias = shared.value
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack([np.asarray(r, dtype=float) for r in v]) @ weight + bias))
+        return _vectors(_matrix(v) @ weight + bias if len(v) else np.empty((0, len(bias))))
 
-    return df.withColumn(target, apply(F.col(source)))
+    return df.withColumn(target, apply(F.col(source).cast("array<double>")))
 
 
 def _map(v: Column, f) -> Column:
@@ -124,8 +132,8 @@ def gelu(v: Column) -> Column:
     return _map(v, one)
 
 
-def position_codes(nodes: DataFrame, tile: str = "tile_id", size: int = POSITION_FREQUENCIES) -> DataFrame:
-    """Add ``px, py``: sinusoidal codes of the coordinates, min-max scaled inside each tile."""
+def _scaled(nodes: DataFrame, tile: str = "tile_id") -> DataFrame:
+    """Add ``px, py``: the coordinates, min-max scaled inside each tile."""
     bounds = nodes.groupBy(tile).agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1")
     )
@@ -133,20 +141,46 @@ def position_codes(nodes: DataFrame, tile: str = "tile_id", size: int = POSITION
     def scaled(axis: str) -> Column:
         return (F.col(axis) - F.col(f"_{axis}0")) / (F.col(f"_{axis}1") - F.col(f"_{axis}0") + F.lit(1e-8))
 
-    joined = nodes.join(bounds, tile)
-    return joined.withColumn("px", sinusoidal(scaled("x"), size)).withColumn("py", sinusoidal(scaled("y"), size)).drop(
-        "_x0", "_x1", "_y0", "_y1"
+    return nodes.join(bounds, tile).withColumn("px", scaled("x")).withColumn("py", scaled("y")).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def position_codes(nodes: DataFrame, tile: str = "tile_id", size: int = POSITION_FREQUENCIES) -> DataFrame:
+    """Add ``px, py``: sinusoidal codes of the coordinates, min-max scaled inside each tile."""
+    scaled = _scaled(nodes, tile)
+    return scaled.withColumn("px", sinusoidal(F.col("px"), size)).withColumn("py", sinusoidal(F.col("py"), size))
+
+
+def _position(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Two dense layers over the sinusoidal code of scaled coordinates."""
+    (w1, b1), (w2, b2) = layers
+    half = w1.shape[0] // 2
+    angle = v[:, None] * np.exp(-math.log(10000.0) * np.arange(half) / half)
+    hidden = np.concatenate([np.cos(angle), np.sin(angle)], axis=1) @ w1 + b1
+    return hidden / (1.0 + np.exp(-hidden)) @ w2 + b2
+
+
+def _first_layer(nodes: DataFrame, source: str, weights: EncoderWeights) -> DataFrame:
+    """Add ``h``: the gene's row or the dense layer of the cell's features, and the positions.
+
+    One Python step: every step of its own in a chain would cost a task one more Python process.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(
+        ((weights.gene,) if source == "gene_encoding" else weights.cell, weights.position if weights.use_positions else None)
     )
 
+    @F.arrow_udf("array<double>")
+    def apply(v: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        first, position = shared.value
+        if not len(v):
+            return _vectors(np.empty((0, 1)))
+        h = first[0][np.asarray(v, int)] if len(first) == 1 else _matrix(v) @ first[0] + first[1]
+        if position is not None:
+            h = np.concatenate([h, *(_position(np.asarray(p, float), position) for p in (px, py))], axis=1)
+        return _vectors(h)
 
-def _add_positions(nodes: DataFrame, weights: EncoderWeights) -> DataFrame:
-    (w1, b1), (w2, b2) = weights.position
-    coded = position_codes(nodes, size=w1.shape[0])
-    for axis in ("px", "py"):
-        coded = _dense(coded, axis, axis, w1, b1)
-        coded = coded.withColumn(axis, _map(F.col(axis), lambda v: v / (1.0 + F.exp(-v))))
-        coded = _dense(coded, axis, axis, w2, b2)
-    return coded.withColumn("h", F.concat("h", "px", "py")).drop("px", "py")
+    placed = _scaled(nodes) if weights.use_positions else nodes.withColumn("px", F.col("x")).withColumn("py", F.col("y"))
+    value = F.col(source) if source == "gene_encoding" else F.col(source).cast("array<double>")
+    return placed.withColumn("h", apply(value, "px", "py")).drop("px", "py")
 
 
 def attention_edges(
@@ -212,20 +246,8 @@ def encode(
     called on the node tables after every layer - pass ``session.cut_lineage`` for deep
     stacks.
     """
-    spark = tx.sparkSession
-    table = spark.sparkContext.broadcast(weights.gene)
-
-    @F.pandas_udf("array<double>")
-    def gene_row(code: pd.Series) -> pd.Series:
-        return pd.Series(list(table.value[code.to_numpy(dtype=int)]), dtype=object)
-
-    nodes = {
-        "tx": tx.select("tile_id", "id", "x", "y", gene_row("gene_encoding").alias("h")),
-        "bd": _dense(bd, "features", "h", *weights.cell).select("tile_id", "id", "x", "y", "h"),
-    }
+    nodes = {"tx": _first_layer(tx, "gene_encoding", weights), "bd": _first_layer(bd, "features", weights)}
     for t in NODE_TYPES:
-        if weights.use_positions:
-            nodes[t] = _add_positions(nodes[t], weights)
         nodes[t] = materialise(nodes[t].select("tile_id", "id", gelu(F.col("h")).alias("h")))
     for layer in weights.layers:
         fresh = {}
