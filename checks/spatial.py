@@ -395,8 +395,9 @@ def p_partition_edges(t):
 )
 def p_local_edges(t):
     edges = knn_within(t.event_points, 5, 5.0).select("src", "dst")
-    labels = _labels(t)
-    local = GR.local_ids(labels, "id")
+    # Labels and local ids are read at both ends of the edges.
+    labels = cut_lineage(_labels(t))
+    local = cut_lineage(GR.local_ids(labels, "id"))
     inside = GR.partition_edges(edges, labels, labels)
     return GR.localise_edges(inside, local, local).select("tile_id", "local_src", "local_dst")
 

@@ -224,6 +224,15 @@ def test_negative_edges_take_tasks_by_their_rows(spark, monkeypatch):
     assert "Join" not in plan
 
 
+def test_local_edges_label_the_points_once(spark):
+    from checks import REGISTRY
+
+    found = REGISTRY["p_local_edges"].run(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The labels' levels are exploded where they are made, not again at each end of the edges.
+    assert "Generate" not in plan
+
+
 def random_rings(rng, n):
     out = []
     for i in range(n):
