@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,6 +125,50 @@ def test_louvain_settles_in_few_rounds_and_in_many_blocks(spark, monkeypatch):
     assert reached[1] > reached[0] - 0.1
 
 
+def test_louvain_level_of_one_block_takes_one_round_of_moves(spark, monkeypatch):
+    # The second round finds that no vertex gains.
+    n = 400
+    edges = [(i, (i + step) % n, 1.0 + (i * step) % 3) for i in range(n) for step in (1, 3, 7, 16)]
+    both = C.cut_lineage(C._undirected(spark.createDataFrame(edges, "src long, dst long, weight double")))
+    two_m = both.agg(F.sum("w")).first()[0]
+    assert len({r["c"] for r in C._local_moves(both, two_m, 1.0, 2, 0).collect()}) < n / 2
+    # Of many blocks too: no vertex gains, and where all that could gain fit a block they are moved there.
+    monkeypatch.setattr(C, "BLOCK_LINKS", 1500)
+    at = {r["id"]: r["c"] for r in C._local_moves(both, two_m, 1.0, 30, 0).collect()}
+    strength, total, around = {}, {}, {}
+    for r in both.collect():
+        strength[r["u"]] = strength.get(r["u"], 0) + r["w"]
+        around.setdefault(r["u"], {}).setdefault(at[r["v"]], 0)
+        around[r["u"]][at[r["v"]]] += r["w"]
+    for i, c in at.items():
+        total[c] = total.get(c, 0) + strength[i]
+    for i, c in at.items():
+        stay = around[i].get(c, 0) - strength[i] * (total[c] - strength[i]) / two_m
+        assert all(into - strength[i] * total[d] / two_m <= stay + 1e-9 for d, into in around[i].items() if d != c)
+
+
+def test_louvain_block_settles_whatever_the_batches():
+    rng = np.random.default_rng(8)
+    u, v = rng.integers(0, 60, (2, 400))
+    pairs = sorted({(int(a), int(b)) for a, b in zip(u, v) if a != b} | {(int(b), int(a)) for a, b in zip(u, v) if a != b})
+    a, b = (np.array(x) for x in zip(*pairs))
+    k = np.bincount(a, minlength=60).astype(float)
+
+    def settled(blocks, size):
+        order = np.lexsort((a, blocks[a]))
+        src, dst = a[order], b[order]
+        inner = blocks[src] == blocks[dst]
+        rows = pa.table(
+            {"block": blocks[src], "id": src, "now": src, "k": k[src], "v": np.where(inner, dst, src), "c": dst, "into": np.ones(len(src)), "tot": k[dst]}
+        )
+        return {i: g for out in C._settle(1 / len(a))(iter(rows.to_batches(size))) for i, g in zip(*(out[c].to_pylist() for c in ("id", "goal")))}
+
+    one = settled(np.zeros(60, int), 10_000)
+    assert one == settled(np.zeros(60, int), 7) and len(set(one.values())) < 30
+    two = settled(np.arange(60) % 2, 10_000)
+    assert two == settled(np.arange(60) % 2, 7) and set(two) == set(one)
+
+
 def test_relabel_boundary_size(spark):
     df = spark.createDataFrame([(i, "a") for i in range(5)] + [(9, "b"), (10, "b"), (11, "c")], "id long, community string")
     got = dict(rows(C.relabel_by_size(df, 2)))
