@@ -315,3 +315,12 @@ def test_tiles_and_second_search_match_brute_force(spark, tile, radius):
         got = as_lists(knn_within(pts, 4, radius, queries=queries, query_ident="cell_id", tile=tile))
     want = {k: v for k, v in brute_knn(xy, asked, 4, np.inf if radius is None else radius).items() if v}
     assert got == want
+
+
+def test_row_index_beyond_64_bits_is_no_error(spark):
+    from checks.base import row_index
+
+    lines = [(0, 1, 5, 7), (11_529_214, 7, 0, 0), (11_529_215, 0, 36_854, 7_775_807), (54_000_000, 7, 7_199_999, 359_999), (40_000_000, 2, 1, 1)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").select(row_index())
+    exact = [((o * 8 + n) * 1000000 + p) * 100000 + s for o, n, p, s in lines]
+    assert [r[0] for r in df.collect()] == [(v + 2**63) % 2**64 - 2**63 for v in exact]
