@@ -324,3 +324,18 @@ def test_row_index_beyond_64_bits_is_no_error(spark):
     df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").select(row_index())
     exact = [((o * 8 + n) * 1000000 + p) * 100000 + s for o, n, p, s in lines]
     assert [r[0] for r in df.collect()] == [(v + 2**63) % 2**64 - 2**63 for v in exact]
+
+
+def test_left_join_keeps_every_point_and_no_place_that_is_no_number(spark):
+    from gridloom.operators.spatial_join import assign_points_to_polygons
+
+    shape = "row_index long, x double, y double, tag string, sizes array<int>"
+    pts = spark.createDataFrame(
+        [(0, 2.0, 2.0, "in", [1]), (1, 9.0, 9.0, "out", None), (2, None, 1.0, "no x", [2]), (None, 2.0, 2.0, "no id", []), (4, 0.0, 0.0, None, [3, 4]), (5, float("nan"), 1.0, "nan", [5])], shape
+    )
+    poly = polygon_df(spark, SQUARE, ELL)
+    got = assign_points_to_polygons(pts, poly)
+    assert got.columns == [*pts.columns, "boundaries_id"]
+    want = [(0, "in", 0), (1, "out", None), (2, "no x", None), (None, "no id", None), (4, None, 0), (4, None, 1), (5, "nan", None)]
+    assert rows(got, "row_index", "tag", "boundaries_id") == sorted(want, key=repr)
+    assert {(r["row_index"], tuple(r["sizes"] or ())) for r in got.collect()} == {(0, (1,)), (1, ()), (2, (2,)), (None, ()), (4, (3, 4)), (5, (5,))}
