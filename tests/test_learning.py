@@ -59,6 +59,14 @@ def test_knn_vectors_sends_a_query_once_to_neighbouring_groups(spark, monkeypatc
         assert written[-1].count() <= most
 
 
+def test_jaccard_edges_search_for_neighbours_once(spark):
+    pairs = [(a, (a + d) % 9) for a in range(9) for d in (0, 1, 2)]
+    found = spark.createDataFrame(pairs, "src long, dst long").mapInArrow(lambda batches: batches, "src long, dst long")
+    scored = C.jaccard_edges(found)
+    assert "MapInArrow" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["src"], r["dst"]) for r in scored.collect()} == set(pairs)
+
+
 def test_louvain_finds_planted_groups(spark):
     rng = np.random.default_rng(1)
     edges = []
